@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,27 +84,27 @@ def _dictionary(texts: list[bytes]) -> bytes:
     return b"".join(texts)[-DICTIONARY_BYTES:]  # too little text to select from: raw content
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Compression:
-    """Fit on a bounded sample of the labelled rows, in the order of a hash of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, per: int) -> dict[int, list[bytes]]:
+    """Whole texts of at most ``per`` labelled rows of each class, first by a hash of doc_id, SAMPLE_BYTES in all.
 
-    Rows with a null label or text are left out. A class without rows leaves its dictionary
-    empty; with one class only (or none) every text scores 0.5.
+    Rows with a null label, doc_id or text are left out.
     """
     y = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
-    per = DICTIONARY_ROWS + CALIBRATION_ROWS
     order = F.xxhash64(F.lit(5), "doc_id")
     keys = y.where("quality = 1").orderBy(order, "doc_id").limit(per).unionByName(y.where("quality = 0").orderBy(order, "doc_id").limit(per))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(keys), "doc_id")  # 8,000 keys at most
-    spark_rows = rows.select("doc_id", "quality", F.length("text").alias("n"), "text")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(keys), "doc_id")  # 2 x per keys at most
     found, used = [], 0
-    for r in spark_rows.toLocalIterator():
+    for r in rows.toLocalIterator():
+        used += len(r.text)
         if used < SAMPLE_BYTES:
             found.append((r.doc_id, r.quality, r.text.encode()))
-            used += len(found[-1][2])
-    import xxhash
-
     found.sort(key=lambda r: (xxhash.xxh3_64_intdigest(b"%d" % r[0]), r[2]))
-    of = {k: [t for _, q, t in found if q == k] for k in (0, 1)}
+    return {k: [t for _, q, t in found if q == k] for k in (0, 1)}
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Compression:
+    """Fit on :func:`labelled_sample`. With one class only (or none) every text scores 0.5."""
+    of = labelled_sample(docs, labels, DICTIONARY_ROWS + CALIBRATION_ROWS)
     cut = {k: min(DICTIONARY_ROWS, max(1, len(of[k]) * 3 // 8)) for k in of}
     model = Compression(_dictionary(of[1][: cut[1]]), _dictionary(of[0][: cut[0]]))
     rest = [(t, k) for k in of for t in of[k][cut[k] :]]
