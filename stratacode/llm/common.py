@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A word: anything between ASCII white space. ``bytes.split()`` cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -31,9 +33,17 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
-    path = new_path(df.sparkSession, what)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, what)
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # nothing reads this query's shuffle files once it is written
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        if was is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
@@ -44,6 +54,12 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now rather than at the driver's next collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

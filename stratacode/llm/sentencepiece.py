@@ -340,6 +340,32 @@ def decode_column(docs: DataFrame, column: str = "ids", to: str = "decoded", mod
     return docs.mapInArrow(run, schema)
 
 
+def tokenised(docs: DataFrame, model_path: str | None = None) -> DataFrame:
+    """All columns of ``docs`` and ids (array<int>), n_ids, and lossless: decoding gives the text back.
+
+    Null text: no ids, lossless. Columns already of these names are replaced.
+    """
+    from pyspark.sql import types as T
+
+    docs = docs.drop("ids", "n_ids", "lossless")
+    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("lossless", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = load(model_path)
+        for big in batches:
+            for i in range(0, big.num_rows, 1024):
+                b = big.slice(i, 1024)
+                texts = [x or "" for x in b.column("text").to_pylist()]
+                raw = m.encode_many(texts)
+                n = [len(x) // 4 for x in raw]
+                ids = np.frombuffer(b"".join(raw), np.int32)
+                at = np.cumsum([0, *n]).astype(np.int32)
+                same = [m.decode(ids[x:y].tolist()) == t for x, y, t in zip(at[:-1].tolist(), at[1:].tolist(), texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(ids)), pa.array(n, pa.int64()), pa.array(same, pa.bool_())], schema.fieldNames())
+
+    return docs.mapInArrow(run, schema)
+
+
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Each whole document is encoded and decoded again; null or empty text has no ids and the empty text's digests."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
