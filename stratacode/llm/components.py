@@ -24,19 +24,15 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("low"))
         seen = label.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "low").alias("low"))
-        seen = written(seen, "seen")
         # what a node saw is offered to itself and to the node it points to
-        offers = seen.select("node", F.col("low").alias("to")).unionByName(seen.where("low < label").select(F.col("label").alias("node"), F.col("low").alias("to")))
-        hooked = written(offers.groupBy("node").agg(F.min("to").alias("to")), "hooked")
+        offers = seen.select(F.explode(F.array(F.struct("node", "low"), F.struct(F.col("label").alias("node"), "low"))).alias("o")).select("o.node", "o.low")
+        hooked = written(offers.groupBy("node").agg(F.min("low").alias("to")), "hooked")
         parents = hooked.select(F.col("node").alias("to"), F.col("to").alias("up"))
-        after = written(
-            hooked.join(parents, "to").select("node", F.least("to", "up").alias("label")),
-            "labels",
-        )
-        changed = after.join(label.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
-        for x in (seen, hooked, label):
+        after = written(hooked.join(parents, "to").join(label.withColumnRenamed("label", "was"), "node").select("node", F.least("to", "up").alias("label"), (F.least("to", "up") < F.col("was")).alias("moved")), "labels")
+        changed = bool(after.where("moved").take(1))
+        for x in (hooked, label):
             drop(x)
-        label = after
+        label = after.drop("moved")
         if not changed:
             drop(both)
             return label

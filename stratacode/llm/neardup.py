@@ -5,7 +5,7 @@ gets 64 minwise tokens. A tree's node picks two token positions; a class goes to
 named by its token at each of them, so that two classes of similarity J stay together below
 some child with chance 1 - (1 - J)^2 or more at every level (0.96 at 0.8), and in one of
 ``trees`` independent trees almost surely (four trees: all but 3 in a million). Nodes with few
-classes are compared exhaustively. In any node, members are first compared with its smallest
+pairs left are compared exhaustively. In any node, members are first compared with its smallest
 class, so a group of thousands of near copies joins as a star, and only members of *different*
 components are compared or branched further. Every link is confirmed on full shingle sets.
 """
@@ -110,12 +110,13 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return p.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, same double")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, leaf: int = 12, most_levels: int = 12) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, leaf: int = 256, most_levels: int = 12) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, class_id; a row for each row.
 
     words, percent: shingle length and the similarity (in percent) from which two sets are linked.
-    trees: independent trees (recall). leaf: nodes up to this many classes are compared
-    exhaustively. most_levels: nodes that are still mixed so deep are compared exhaustively too.
+    trees: independent trees (recall). leaf: nodes are compared
+    exhaustively when the pairs across their components number leaf^2 / 2 or 8 times the
+    members at most; others branch. most_levels: nodes still mixed so deep are compared exhaustively.
 
     Null, empty or blank text: 0 shingles, linked with nothing. Repeated rows: linked as copies.
     Of a doc_id that comes with several texts, the text with the smallest fingerprint is
@@ -155,31 +156,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
         return n.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
     nodes = sized(sigs.select(F.lit(0).cast("long").alias("node"), "rep", "n", "sig").mapInArrow(_children(True, trees), "node long, rep long, n long"))
-    links, level = None, 1
+    links, labels, level = None, None, 1
     while True:
         # a star: each class with the smallest of the nodes it is in that looks most like it
-        stars = candidates(nodes.where(f"rep <> pivot and {similar_size('n', 'pivot_n')}").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        apart = nodes.where(f"rep <> pivot and {similar_size('n', 'pivot_n')}").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+        if labels is not None:  # links already found join most of them
+            of = labels.select("node", "label")
+            apart = apart.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+            apart = apart.where("coalesce(la, a) <> coalesce(lb, b)").select("a", "b")
+        stars = candidates(apart)
         best = stars.groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b"))
         found = confirm(written(best, "best"))
-        links = found if links is None else written(links.unionByName(found), "links")
-        labels = components(links)
+        fresh = labels is None or not is_none(found)
+        links = found if links is None else links.unionByName(found)
+        if fresh:
+            labels = components(links)
         # then what the stars left apart: nodes that hold several components
         seen = written(labelled(nodes, labels), "seen")
-        mixed = seen.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("node")
+        by = seen.groupBy("node", "label").agg(F.count("*").alias("c"))
+        by = by.groupBy("node").agg(F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("label", F.struct("c", "label")).alias("main"))
+        mixed = by.where("squares < members * members").select("node", "main", ((F.col("members") * F.col("members") - F.col("squares")) / 2 <= F.greatest(F.lit(leaf * leaf / 2), 8 * F.col("members"))).alias("easy"))
         open_ = written(seen.join(mixed, "node"), "open")
-        small = open_.where(f"m <= {leaf}" if level < most_levels else "true")
-        left, right = small.select("node", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("label").alias("la")), small.select("node", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-        pairs = left.join(right, "node").where(f"a < b and la <> lb and {similar_size('na', 'nb')}").select("a", "b")
+        # few pairs across components: compare them all, each member outside the largest component with all others
+        small = open_.where("easy" if level < most_levels else "true")
+        minor = small.where("label <> main").select("node", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
+        every = small.select("node", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), "main")
+        pairs = minor.join(every, "node").where(f"lx <> ly and (ly = main or x < y) and {similar_size('nx', 'ny')}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         found = confirm(candidates(pairs))
-        links = written(links.unionByName(found), "links")
-        large = open_.where(f"m > {leaf}")
+        links = links.unionByName(found)
+        if not is_none(found):
+            labels = components(links)
+        large = open_.where("not easy")
         for x in (stars, nodes, seen):
             drop(x)
         if level >= most_levels or is_none(large):
             break
         nodes = sized(large.select("node", "rep", "n").join(sigs.select("rep", "sig"), "rep").mapInArrow(_children(False, trees), "node long, rep long, n long").distinct())
         level += 1
-    labels = components(links)
     named = written(classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("fp", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("label")), "named")
     out = base.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
     component = F.coalesce("label", "doc_id")
