@@ -68,26 +68,31 @@ def clean_query(spark, d):
     return p.select("p_partkey", T.clean_query(F.col("text")).alias("cleaned"))
 
 
+def _vectors(spark, d):
+    """Vectors in whole thousandths: sums of whole doubles are exact in any order, so both engines get equal cosines."""
+    return read(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double") * 1000)).alias("embedding"))
+
+
 def _agents(spark, d):
-    e = read(spark, d, "embeddings").select("label", F.posexplode("embedding"))
-    c = e.groupBy("label", "pos").agg(F.round(F.avg(F.col("col").cast("double")), 4).alias("v"))
+    e = _vectors(spark, d).select("label", F.posexplode("embedding"))
+    c = e.groupBy("label", "pos").agg(F.round(F.avg("col")).alias("v"))
     return c.groupBy(F.col("label").alias("agent")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("agent_vector"))
 
 
 AGENTS = """
-WITH u AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
-c AS (SELECT label AS agent, pos, round(avg(x::DOUBLE), 4) AS v FROM u GROUP BY ALL),
+WITH u AS (SELECT vec_id, label, round(unnest(embedding)::DOUBLE * 1000) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+c AS (SELECT label AS agent, pos, round(avg(x)) AS v FROM u GROUP BY ALL),
 s AS (SELECT vec_id, agent, round(sum(x::DOUBLE * v) / (sqrt(sum(x::DOUBLE * x::DOUBLE)) * sqrt(sum(v * v))), 6) AS sim FROM u JOIN c USING (pos) GROUP BY ALL)
 """
 
 
 def nearest_agent(spark, d):
-    out = M.nearest(read(spark, d, "embeddings").select("vec_id", "embedding"), _agents(spark, d), 0.1)
-    return out.select("vec_id", "agent", F.round("sim", 4).alias("sim"))
+    out = M.nearest(_vectors(spark, d).select("vec_id", "embedding"), _agents(spark, d), 0.1)
+    return out.select("vec_id", "agent", "sim")
 
 
 def threshold_labels(spark, d):
-    out = M.labels_above(read(spark, d, "embeddings").select("vec_id", "embedding"), _agents(spark, d), 0.1)
+    out = M.labels_above(_vectors(spark, d).select("vec_id", "embedding"), _agents(spark, d), 0.1)
     return out.select("vec_id", F.array_join("labels", ",").alias("labels"))
 
 
@@ -207,7 +212,7 @@ a AS (SELECT p_partkey, regexp_replace(trim(t), ' +', ' ', 'g') AS t FROM p),
 b AS (SELECT p_partkey, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(t, '^the ', '')), '^[Aa]n ', '')), '^[Aa] ', '')), ' of$', '')) AS t FROM a),
 c AS (SELECT p_partkey, trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(t, '(\d\d)(st|nd|rd|th)\b', '\1', 'g'), '(\d)(st|nd|rd|th)\b', '\1', 'g'), '^\d+? ', '')), '''s$', '')) AS t FROM b)
 SELECT p_partkey, CASE WHEN length(t) < 2 THEN '' ELSE t END AS cleaned FROM c""",
-    "nearest_agent": AGENTS + "SELECT vec_id, CASE WHEN max(sim) >= 0.1 THEN arg_max(agent, (sim, -agent)) END AS agent, round(max(sim), 4) AS sim FROM s GROUP BY vec_id",
+    "nearest_agent": AGENTS + "SELECT vec_id, CASE WHEN max(sim) >= 0.1 THEN arg_max(agent, (sim, -agent)) END AS agent, max(sim) AS sim FROM s GROUP BY vec_id",
     "threshold_labels": AGENTS + "SELECT vec_id, coalesce(string_agg(agent::VARCHAR, ',' ORDER BY agent) FILTER (sim > 0.1), '') AS labels FROM s GROUP BY vec_id",
     "span_overlap": """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 AS s, l_partkey % 50 + CAST(l_quantity AS BIGINT) AS e, o_custkey % 50 AS s2, o_custkey % 50 + 20 AS e2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 y AS (SELECT l_orderkey, l_linenumber, greatest(0, least(e, e2) - greatest(s, s2)) AS i, e - s + e2 - s2 AS u FROM x), z AS (SELECT l_orderkey, l_linenumber, round(i / (u - i), 6) AS j FROM y)
