@@ -4,8 +4,10 @@ Texts with one shingle set are one *class*, whose smallest doc_id stands for it.
 gets 64 minwise tokens. A tree's node picks two token positions; a class goes to the child
 named by its token at each of them, so that two classes of similarity J stay together below
 some child with chance 1 - (1 - J)^2 or more at every level (0.96 at 0.8), and in one of
-``trees`` independent trees almost surely (four trees: all but 3 in a million). Nodes with few
-pairs left are compared exhaustively. In any node, members are first compared with its smallest
+``trees`` independent trees almost surely (four trees: all but 3 in a million). Small nodes are
+compared exhaustively, each by one group function that returns members and then a forest of
+links, never its pairs: a dense group just below the threshold makes no more rows than it has
+members. In any node, members are first compared with its smallest
 class, so a group of thousands of near copies joins as a star, and only members of *different*
 components are compared or branched further. Every link is confirmed on full shingle sets.
 """
@@ -110,13 +112,75 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return p.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, same double")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, leaf: int = 256, most_levels: int = 12) -> DataFrame:
+def _likely(sig: np.ndarray, n: np.ndarray, label: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each member of a node the later ones of other components that may be similar by set size and tokens."""
+    columns = np.ascontiguousarray(sig.T)
+    for i in range(len(n) - 1):
+        rest = slice(i + 1, None)
+        js = np.flatnonzero((label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))) + i + 1
+        if len(js):
+            same = (columns[:, js] == columns[:, i, None]).sum(axis=0)
+            js = js[same >= SKETCH_AT_LEAST * TOKENS]
+            if len(js):
+                yield i, js
+
+
+def _members(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sig = np.frombuffer(b"".join(x.as_py() for x in t.column("sig")), np.uint32).reshape(-1, TOKENS)
+    return sig, t.column("n").to_numpy(), t.column("label").to_numpy()
+
+
+def _survivors(percent: int):
+    """A node's rows -> those that have a likely partner in it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keep = np.zeros(t.num_rows, bool)
+        for i, js in _likely(*_members(t), percent):
+            keep[i] = True
+            keep[js] = True
+        return t.filter(pa.array(keep))
+
+    return run
+
+
+def _forest(percent: int):
+    """A node's rows with full sets -> links (a, b) on full sets that join all its linked components."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sig, n, label = _members(t)
+        rep, now, links = t.column("rep").to_numpy(), label.copy(), []
+        lists = t.column("hashes").combine_chunks()
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        uniq, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        mark = np.zeros(len(uniq), np.int32)
+        for i, js in _likely(sig, n, label, percent):
+            js = js[now[js] != now[i]]
+            if not len(js):
+                continue
+            own = flat[at[i] : at[i + 1]]
+            mark[own] = 1
+            if 4 * len(js) < len(n):
+                inter = np.array([mark[flat[at[j] : at[j + 1]]].sum() for j in js])
+            else:
+                inter = np.add.reduceat(mark[flat], at[:-1])[js]
+            mark[own] = 0
+            for j in js[100 * inter >= percent * (n[js] + n[i] - inter)]:
+                if now[j] != now[i]:
+                    now[now == now[j]] = now[i]
+                    links.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, leaf: int = 2048, leaf_shingles: int = 4_000_000, most_levels: int = 12) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, class_id; a row for each row.
 
     words, percent: shingle length and the similarity (in percent) from which two sets are linked.
-    trees: independent trees (recall). leaf: nodes are compared
-    exhaustively when the pairs across their components number leaf^2 / 2 or 8 times the
-    members at most; others branch. most_levels: nodes still mixed so deep are compared exhaustively.
+    trees: independent trees (recall). leaf, leaf_shingles: nodes with so many members and so many
+    shingles in all at most are compared exhaustively, each in one task; so are, pair by pair, larger
+    ones with at most 8 pairs a member across components; others branch. most_levels: nodes still
+    mixed so deep are compared exhaustively, pair by pair.
 
     Null, empty or blank text: 0 shingles, linked with nothing. Repeated rows: linked as copies.
     Of a doc_id that comes with several texts, the text with the smallest fingerprint is
@@ -141,11 +205,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     def candidates(pairs: DataFrame) -> DataFrame:
         return written(_agreeing(pairs.distinct(), sigs), "pairs")
 
+    def full_sets(reps: DataFrame) -> DataFrame:
+        wanted = reps.distinct().join(sigs.select("rep", "fp"), "rep")
+        texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "fp")
+        # a repeated row gives its set once
+        return written(texts.mapInArrow(_hash_lists(words), "rep long, hashes array<long>").dropDuplicates(["rep"]), "hashes")
+
+    def exhausted(members: DataFrame) -> DataFrame:
+        """Links that join the components of each small node. Only members with a likely partner meet on full sets."""
+        kind = "node long, rep long, n long, label long, sig binary"
+        rows = members.select("node", "rep", "n", "label").join(sigs.select("rep", "sig"), "rep").select("node", "rep", "n", "label", "sig")
+        likely = written(rows.groupBy("node").applyInArrow(_survivors(percent), kind), "likely")
+        sets = full_sets(likely.select("rep"))
+        found = written(likely.join(sets, "rep").groupBy("node").applyInArrow(_forest(percent), "a long, b long").distinct(), "links")
+        for x in (likely, sets):
+            drop(x)
+        return found
+
     def confirm(pairs: DataFrame) -> DataFrame:
         """Only links whose full sets are similar. Sets are computed for the classes involved alone."""
-        wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct().join(sigs.select("rep", "fp"), "rep")
-        texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "fp")
-        sets = written(texts.mapInArrow(_hash_lists(words), "rep long, hashes array<long>"), "hashes")
+        sets = full_sets(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))))
         both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb")), "b")
         inter = F.size(F.array_intersect("ha", "hb"))
         links = written(both.where(100 * inter >= percent * (F.size("ha") + F.size("hb") - inter)).select("a", "b"), "links")
@@ -173,20 +252,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
             labels = components(links)
         # then what the stars left apart: nodes that hold several components
         seen = written(labelled(nodes, labels), "seen")
-        by = seen.groupBy("node", "label").agg(F.count("*").alias("c"))
-        by = by.groupBy("node").agg(F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("label", F.struct("c", "label")).alias("main"))
-        mixed = by.where("squares < members * members").select("node", "main", ((F.col("members") * F.col("members") - F.col("squares")) / 2 <= F.greatest(F.lit(leaf * leaf / 2), 8 * F.col("members"))).alias("easy"))
+        by = seen.groupBy("node", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        by = by.groupBy("node").agg(F.sum("s").alias("shingles"), F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("label", F.struct("c", "label")).alias("main"))
+        easy = F.expr(f"members <= {leaf} and shingles <= {leaf_shingles}")
+        mixed = by.where("squares < members * members").select("node", "main", easy.alias("easy"), (~easy & F.expr("(members * members - squares) / 2 <= 8 * members")).alias("few"))
         open_ = written(seen.join(mixed, "node"), "open")
+        found = exhausted(open_.where("easy"))
+        links = links.unionByName(found)
         # few pairs across components: compare them all, each member outside the largest component with all others
-        small = open_.where("easy" if level < most_levels else "true")
+        small = open_.where("few" if level < most_levels else "not easy")
         minor = small.where("label <> main").select("node", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
         every = small.select("node", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), "main")
         pairs = minor.join(every, "node").where(f"lx <> ly and (ly = main or x < y) and {similar_size('nx', 'ny')}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        found = confirm(candidates(pairs))
-        links = links.unionByName(found)
+        if not is_none(small):
+            more = confirm(candidates(pairs))
+            links, found = links.unionByName(more), found.unionByName(more)
         if not is_none(found):
             labels = components(links)
-        large = open_.where("not easy")
+        large = open_.where("not easy and not few")
         for x in (stars, nodes, seen):
             drop(x)
         if level >= most_levels or is_none(large):
