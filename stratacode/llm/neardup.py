@@ -14,6 +14,7 @@ components are compared or branched further. Every link is confirmed on full shi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blobs, drop, mix64, shingles, table, word_hashes, written
+from .common import WordHash, blobs, drop, mix64, new_path, shingles, table, word_hashes, written
 from .components import components
 
 TOKENS = 64
@@ -194,6 +195,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     one = classes.groupBy("rep").agg(F.min("fp").alias("fp"), F.min_by("n", "fp").alias("n"))
     sigs = written(one.join(base.select(F.col("doc_id").alias("rep"), "fp", "sig"), ["rep", "fp"]).dropDuplicates(["rep"]), "sigs")
 
+    # texts of the classes, bucketed once: later joins with some of them move no text
+    spark, by_rep = docs.sparkSession, f"texts_{uuid.uuid4().hex}"
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = docs.withColumnRenamed("doc_id", "rep").join(sigs.select("rep", "fp"), "rep").select("rep", "text", "fp").repartition(buckets, "rep")
+    kept_at = new_path(spark, "texts")
+    texts.write.bucketBy(buckets, "rep").option("path", kept_at).option("compression", "zstd").format("parquet").saveAsTable(by_rep)
+
     def sized(n: DataFrame) -> DataFrame:
         """Nodes with two members or more, with their smallest member and its set size."""
         by = n.groupBy("node").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("low")).where("m > 1")
@@ -206,8 +214,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
         return written(_agreeing(pairs.distinct(), sigs), "pairs")
 
     def full_sets(reps: DataFrame) -> DataFrame:
-        wanted = reps.distinct().join(sigs.select("rep", "fp"), "rep")
-        texts = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "fp")
+        texts = spark.table(by_rep).join(reps.distinct(), "rep").select(F.col("rep").alias("doc_id"), "text", "fp")
         # a repeated row gives its set once
         return written(texts.mapInArrow(_hash_lists(words), "rep long, hashes array<long>").dropDuplicates(["rep"]), "hashes")
 
@@ -276,6 +283,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
             break
         nodes = sized(large.select("node", "rep", "n").join(sigs.select("rep", "sig"), "rep").mapInArrow(_children(False, trees), "node long, rep long, n long").distinct())
         level += 1
+    drop(spark.table(by_rep))
+    spark.sql(f"DROP TABLE {by_rep}")
     named = written(classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("fp", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("label")), "named")
     out = base.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
     component = F.coalesce("label", "doc_id")
