@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import events as E
 from ..operators import match as M
+from . import resolver_queries as resolver
 
 PATTERNS = [("NATION_10", "TEN"), ("NATION_20", "TWENTY"), ("NATION_1", "ONE"), ("NATION_2", "TWO")]
 WORDING = [("click_k1", "ACTOR", "Who clicked on {recip_text}?"), ("click_k1", "RECIP", "Whom did {actor_text} click?"), ("view_", "ACTOR", ""), ("view_", "LOC", "Where was {recip_text} seen?")]
@@ -250,3 +251,6 @@ SELECT o_orderkey, CAST(CASE k WHEN 0 THEN p WHEN 1 THEN p - 1 WHEN 2 THEN p - 3
 SELECT r_name, 'actors' AS attribute, actors AS value FROM g UNION ALL SELECT r_name, 'n', n FROM g""",
     "pair_combinations": "SELECT x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_name < y.n_name",
 }
+
+QUERIES |= resolver.QUERIES
+SQL |= resolver.SQL
