@@ -1,7 +1,7 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
-Texts with one shingle set are one *class*, whose smallest doc_id stands for it. Every class
-gets 64 minwise tokens. A tree's node picks two token positions; a class goes to the child
+Texts with one shingle set are one *class*, named by a number (rep below) in order of its smallest
+doc_id and its fingerprint. Every class gets 64 minwise tokens. A tree's node picks two token positions; a class goes to the child
 named by its token at each of them, so that two classes of similarity J stay together below
 some child with chance 1 - (1 - J)^2 or more at every level (0.96 at 0.8), and in one of
 ``trees`` independent trees almost surely (four trees: all but 3 in a million). Small nodes are
@@ -51,7 +51,7 @@ def _sets(words: int):
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sig.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "fp", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h64"), pa.array(n, pa.int64()), pa.array(fp, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "h64", "n_shingles", "fp", "sig"])
 
     return run
 
@@ -65,7 +65,7 @@ def _hash_lists(words: int):
             sets = [s for s, ok in zip(sets, right, strict=True) if ok]
             at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(right, pa.bool_())), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["rep", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("rep").filter(pa.array(right, pa.bool_())), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["rep", "hashes"])
 
     return run
 
@@ -184,21 +184,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     mixed so deep are compared exhaustively, pair by pair.
 
     Null, empty or blank text: 0 shingles, linked with nothing. Repeated rows: linked as copies.
-    Of a doc_id that comes with several texts, the text with the smallest fingerprint is
-    compared with others, and exact copies of each are linked. A null doc_id never stands for
-    a class and has a null component unless another copy has an id. Other columns are ignored. An empty table
-    gives an empty result.
+    Every text of a doc_id that comes with several is compared with all others; the texts of one doc_id
+    are not linked for that. Rows with a null doc_id take part as well. component_id and class_id: the
+    smallest doc_id in it, null if no row has one. Other columns are ignored. An empty table gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = written(docs.mapInArrow(_sets(words), "doc_id long, n_shingles long, fp binary, sig binary"), "sets")
-    classes = written(base.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "classes")
-    one = classes.groupBy("rep").agg(F.min("fp").alias("fp"), F.min_by("n", "fp").alias("n"))
-    sigs = written(one.join(base.select(F.col("doc_id").alias("rep"), "fp", "sig"), ["rep", "fp"]).dropDuplicates(["rep"]), "sigs")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h64", F.xxhash64("text"))
+    base = written(docs.mapInArrow(_sets(words), "doc_id long, h64 long, n_shingles long, fp binary, sig binary"), "sets")
+    # a class is read from one text of its smallest doc_id; numbers follow (doc_id, fingerprint), nulls last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h64")).alias("first")
+    found = base.where("fp is not null").groupBy("fp").agg(first, F.min("n_shingles").alias("n"), F.min("sig").alias("sig"))
+    found = found.select("fp", F.col("first.no_id").alias("no_id"), F.col("first.doc_id").alias("doc_id"), F.col("first.h64").alias("h64"), "n", "sig")
+    order = ["no_id", "doc_id", "fp"]
+    sigs = written(found.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rep", F.monotonically_increasing_id()), "sigs")
+    classes = sigs.select("fp", "rep", "doc_id")
 
     # texts of the classes, bucketed once: later joins with some of them move no text
     spark, by_rep = docs.sparkSession, f"texts_{uuid.uuid4().hex}"
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = docs.withColumnRenamed("doc_id", "rep").join(sigs.select("rep", "fp"), "rep").select("rep", "text", "fp").repartition(buckets, "rep")
+    of = sigs.select("rep", "fp", F.col("doc_id").alias("id"), F.col("h64").alias("h"))
+    texts = docs.join(of, (F.col("h64") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "text", "fp").repartition(buckets, "rep")
     kept_at = new_path(spark, "texts")
     texts.write.bucketBy(buckets, "rep").option("path", kept_at).option("compression", "zstd").format("parquet").saveAsTable(by_rep)
 
@@ -214,7 +218,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
         return written(_agreeing(pairs.distinct(), sigs), "pairs")
 
     def full_sets(reps: DataFrame) -> DataFrame:
-        texts = spark.table(by_rep).join(reps.distinct(), "rep").select(F.col("rep").alias("doc_id"), "text", "fp")
+        texts = spark.table(by_rep).join(reps.distinct(), "rep").select("rep", "text", "fp")
         # a repeated row gives its set once
         return written(texts.mapInArrow(_hash_lists(words), "rep long, hashes array<long>").dropDuplicates(["rep"]), "hashes")
 
@@ -285,10 +289,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
         level += 1
     drop(spark.table(by_rep))
     spark.sql(f"DROP TABLE {by_rep}")
-    named = written(classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("fp", F.col("rep").alias("class_id"), F.coalesce("label", "rep").alias("label")), "named")
+    named = written(classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("fp", F.col("doc_id").alias("class_id"), F.coalesce("label", "rep").alias("label")), "named")
+    smallest = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
+    named = written(named.join(smallest, "label"), "components")
     out = base.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
-    component = F.coalesce("label", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    blank = F.col("fp").isNull()
+    component = F.when(blank, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.when(blank, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def is_none(df: DataFrame) -> bool:

@@ -70,6 +70,14 @@ def test_near_duplicates(spark, docs, texts, leaf):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_several_texts_of_one_id(spark):
+    rng = random.Random(8)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    rows = [(7, a), (7, b), (3, a + " tail"), (5, b + " tail"), (6, c), (None, c + " tail"), (None, c + " tail end"), (None, words(rng, 60))]
+    ids = Counter((r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect())
+    assert ids == {(7, 3): 1, (7, 5): 1, (3, 3): 1, (5, 5): 1, (6, 6): 1, (None, 6): 2, (None, None): 1}
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a </s> \\ <|sep|> [[INST]"), (1, 1, "user", ""), (1, 2, "assistant", None), (1, 300, "assistant", "x\ny"), (None, 0, None, "<<SYS>>"), (2, 5, "assistant", "<|end|>\n<|start|>user")]
     t = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
