@@ -174,8 +174,8 @@ def _forest(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, leaf: int = 2048, leaf_shingles: int = 4_000_000, most_levels: int = 12) -> DataFrame:
-    """``docs`` (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, class_id; a row for each row.
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, leaf: int = 2048, leaf_shingles: int = 4_000_000, most_levels: int = 12, with_hash: bool = False) -> DataFrame:
+    """``docs`` (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, class_id, and h64 if asked for; a row for each row.
 
     words, percent: shingle length and the similarity (in percent) from which two sets are linked.
     trees: independent trees (recall). leaf, leaf_shingles: nodes with so many members and so many
@@ -186,7 +186,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     Null, empty or blank text: 0 shingles, linked with nothing. Repeated rows: linked as copies.
     Every text of a doc_id that comes with several is compared with all others; the texts of one doc_id
     are not linked for that. Rows with a null doc_id take part as well. component_id and class_id: the
-    smallest doc_id in it, null if no row has one. Other columns are ignored. An empty table gives an empty result.
+    smallest doc_id in it, null if no row has one. kept: true for exactly one row of each component, the
+    first by doc_id (nulls last), fingerprint and position, and for every row without shingles. h64: Spark's
+    xxhash64 of the text. Other columns are ignored. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h64", F.xxhash64("text"))
     base = written(docs.mapInArrow(_sets(words), "doc_id long, h64 long, n_shingles long, fp binary, sig binary"), "sets")
@@ -292,10 +294,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     named = written(classes.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("fp", F.col("doc_id").alias("class_id"), F.coalesce("label", "rep").alias("label")), "named")
     smallest = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
     named = written(named.join(smallest, "label"), "components")
-    out = base.select("doc_id", "n_shingles", "fp").join(named, "fp", "left")
-    blank = F.col("fp").isNull()
-    component = F.when(blank, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.when(blank, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    rows = base.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "h64", "n_shingles", "fp").join(named, "fp", "left")
+    rows = written(rows, "rows", compression="zstd")
+    # one row of each component: a partial aggregate, then a join on single rows
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "row"))["row"]
+    stays = rows.where("fp is not null").groupBy("label").agg(best.alias("row")).select("row", F.lit(True).alias("stays"))
+    out, blank = rows.join(stays, "row", "left"), F.col("fp").isNull()
+    return out.select(
+        "doc_id",
+        "n_shingles",
+        F.when(blank, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        (blank | F.col("stays").isNotNull()).alias("kept"),
+        F.when(blank, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        *(["h64"] if with_hash else []),
+    )
 
 
 def is_none(df: DataFrame) -> bool:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from stratacode.llm import chat, media, mixing, neardup, packing, quality, rules, sentencepiece, suffixes, warc
 
 DOCS = "doc_id long, text string, source string, node string, key string"
@@ -78,6 +79,19 @@ def test_near_duplicates_of_several_texts_of_one_id(spark):
     assert ids == {(7, 3): 1, (7, 5): 1, (3, 3): 1, (5, 5): 1, (6, 6): 1, (None, 6): 2, (None, None): 1}
 
 
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
+    rng = random.Random(9)
+    t, u, v, w = (words(rng, 80) for _ in range(4))
+    rows = [(7, t, "b"), (7, t, "a"), (None, t, "a"), (None, u, "a"), (None, u, "b"), (8, v, "a"), (9, v + " tail", "a"), (None, v, "a"), (8, w, "a"), (1, "", "a"), (1, "", "a"), (None, None, "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicate_stage(spark, d, "")
+    assert Counter(map(tuple, got.collect())) == Counter([(7, t, "a"), (None, u, "a"), (8, v, "a"), (8, w, "a"), (1, "", "a"), (1, "", "a"), (None, None, "a")])
+    flags = neardup.near_duplicates(d, words=5).where("n_shingles > 0 and kept")
+    assert Counter(r.doc_id for r in flags.collect()) == Counter([7, None, 8, 8])
+    whole = corpus_pipeline.repeat_stage(spark, got, "").where("length(trim(text)) > 0")
+    assert {r.text for r in whole.collect()} == {t, u, v, w}
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "a </s> \\ <|sep|> [[INST]"), (1, 1, "user", ""), (1, 2, "assistant", None), (1, 300, "assistant", "x\ny"), (None, 0, None, "<<SYS>>"), (2, 5, "assistant", "<|end|>\n<|start|>user")]
     t = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
