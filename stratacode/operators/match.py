@@ -75,6 +75,24 @@ def search_all_terms(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 
 
+def search_whole_items(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """The result of :func:`search_all_terms` for queries of many terms.
+
+    Documents that hold a query's rarest term are its candidates; only those are counted term by term.
+    """
+    q = queries.select("query_id", F.array_distinct("terms").alias("terms"))
+    each = q.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
+    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("term")).join(each.select("term").distinct(), "term", "left_semi")
+    tf = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = each.join(df, "term", "left").groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    wanted = tf.join(rarest, "term").select("query_id", F.col("doc_id").alias("id")).join(each, "query_id").withColumnRenamed("term", "t")
+    both = wanted.join(tf, (F.col("t") == F.col("term")) & F.col("id").eqNullSafe(F.col("doc_id")))
+    hits = both.groupBy("query_id", "doc_id").agg(F.count("*").alias("found"), F.sum("tf").alias("score"), F.max("n_terms").alias("n_terms")).where("found = n_terms")
+    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+
+
 def first_sentence_with(docs: DataFrame, needle: Column) -> DataFrame:
     """Append sentence: the first that contains the needle, else the empty string."""
     return docs.withColumn("sentence", F.coalesce(F.get(F.filter(F.split("text", r"\. |\n"), lambda s: F.contains(s, needle)), F.lit(0)), F.lit("")))

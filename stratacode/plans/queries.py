@@ -127,6 +127,12 @@ def keep_last_question(spark, d):
     return E.keep_last(c, ["conv_id", "question"], ["turn"]).select("conv_id", "question", "turn")
 
 
+def keep_last_whole_question(spark, d):
+    """The last turn of each whole question text of a conversation."""
+    c = read(spark, d, "conversations").withColumnRenamed("text", "question")
+    return E.keep_last(c, ["conv_id", "question"], ["turn"]).select("conv_id", "question", "turn")
+
+
 def most_common_first_seen(spark, d):
     return M.most_common_first(read(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey"), "o_custkey", "o_orderpriority", "o_orderkey")
 
@@ -155,6 +161,13 @@ def fulltext_topk(spark, d):
     return M.search_all_terms(q, read(spark, d, "documents").select("doc_id", "text"), 10)
 
 
+def fulltext_all_terms(spark, d):
+    """Documents that hold every distinct term of the whole item text, the best 200."""
+    terms = F.array_distinct(F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    q = read(spark, d, "benchmark").where("item_id is not null").select(F.col("item_id").alias("query_id"), terms.alias("terms"))
+    return M.search_whole_items(q, read(spark, d, "documents").select("doc_id", "text"), 200)
+
+
 def canonical_page(spark, d):
     p = read(spark, d, "pages").select("page_id", F.regexp_replace(F.regexp_replace(F.regexp_replace("url", r"[#?].*$", ""), r"^https?://", ""), r"^(www|m|blog)\.", "").alias("canonical"))
     return p.groupBy("canonical").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n_redirects"))
@@ -186,7 +199,7 @@ def pair_combinations(spark, d):
     return a.join(a.select("n_regionkey", F.col("a").alias("b")), "n_regionkey").where("a < b").select("a", "b")
 
 
-QUERIES = {f.__name__: f for f in (flagship, explode_events, question_fill, type_without_question, country_grep, clean_query, nearest_agent, threshold_labels, span_overlap, answer_sum, pivot_scores, assign_best, keep_last_question, most_common_first_seen, code_priority, clean_best, active_office, fulltext_topk, canonical_page, page_filters, sentence_context, relative_date, wide_table, pair_combinations)}
+QUERIES = {f.__name__: f for f in (flagship, explode_events, question_fill, type_without_question, country_grep, clean_query, nearest_agent, threshold_labels, span_overlap, answer_sum, pivot_scores, assign_best, keep_last_question, keep_last_whole_question, most_common_first_seen, code_priority, clean_best, active_office, fulltext_topk, fulltext_all_terms, canonical_page, page_filters, sentence_context, relative_date, wide_table, pair_combinations)}
 
 _CODE = "CASE WHEN n_name LIKE 'NATION_10%' THEN 'TEN' WHEN n_name LIKE 'NATION_20%' THEN 'TWENTY' WHEN n_name LIKE 'NATION_1%' THEN 'ONE' WHEN n_name LIKE 'NATION_2%' THEN 'TWO' END"
 _REST = "CASE WHEN n_name LIKE 'NATION_10%' THEN substr(n_name, 10) WHEN n_name LIKE 'NATION_20%' THEN substr(n_name, 10) WHEN n_name LIKE 'NATION_1%' THEN substr(n_name, 9) WHEN n_name LIKE 'NATION_2%' THEN substr(n_name, 9) END"
@@ -226,6 +239,7 @@ o AS (SELECT event, attr, text, score FROM s UNION ALL SELECT event, a, NULL, 0
 SELECT x.event, round(max(x.score + y.score + z.score), 4) AS total, true AS assigned FROM o x JOIN o y ON x.event = y.event JOIN o z ON x.event = z.event
 WHERE x.attr = 0 AND y.attr = 1 AND z.attr = 2 AND (x.text IS NULL OR y.text IS NULL OR x.text <> y.text) AND (x.text IS NULL OR z.text IS NULL OR x.text <> z.text) AND (y.text IS NULL OR z.text IS NULL OR y.text <> z.text) GROUP BY x.event""",
     "keep_last_question": "SELECT conv_id, left(text, 3) AS question, max(turn) AS turn FROM conversations GROUP BY ALL",
+    "keep_last_whole_question": "SELECT conv_id, text AS question, max(turn) AS turn FROM conversations GROUP BY ALL",
     "most_common_first_seen": "WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY ALL) SELECT o_custkey, arg_max(o_orderpriority, (n, -f)) AS o_orderpriority, max(n) AS n FROM c GROUP BY o_custkey",
     "code_priority": """WITH p AS (SELECT p_brand, p_partkey, ['GOV', 'MIL', 'CVL', 'ZZZ', 'JRN'][p_size % 5 + 1] AS code, [100, 80, 10, 0, 40][p_size % 5 + 1] AS r FROM part)
 SELECT p_brand, code, p_partkey FROM p QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY r DESC, p_partkey) = 1""",
@@ -240,6 +254,11 @@ t AS (SELECT query_id, term FROM f QUALIFY row_number() OVER (PARTITION BY query
 d AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM t) GROUP BY ALL),
 h AS (SELECT query_id, doc_id, count(*) AS c, CAST(sum(tf) AS BIGINT) AS score FROM tf JOIN t USING (term) GROUP BY ALL)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h JOIN n USING (query_id) WHERE c = n QUALIFY rank <= 10""",
+    "fulltext_all_terms": r"""WITH q AS (SELECT item_id AS query_id, regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+t AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(w) AS term FROM q) WHERE term <> ''), n AS (SELECT query_id, count(*) AS n FROM t GROUP BY ALL),
+d AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM t) GROUP BY ALL),
+h AS (SELECT query_id, doc_id, count(*) AS c, CAST(sum(tf) AS BIGINT) AS score FROM tf JOIN t USING (term) GROUP BY ALL)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h JOIN n USING (query_id) WHERE c = n QUALIFY rank <= 200""",
     "canonical_page": r"SELECT regexp_replace(regexp_replace(regexp_replace(url, '[#?].*$', ''), '^https?://', ''), '^(www|m|blog)\.', '') AS canonical, min(page_id) AS page_id, count(*) AS n_redirects FROM pages GROUP BY ALL",
     "page_filters": r"WITH p AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages) SELECT page_id, title FROM p WHERE NOT regexp_matches(title, '\.(jpg|png)$|-stub|^User|^List |^Portal ') AND length(title) > 10",
     "sentence_context": r"""WITH d AS (SELECT doc_id, text, string_split(text, ' ')[3] AS actor FROM documents)
