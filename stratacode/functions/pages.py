@@ -29,6 +29,31 @@ def redirect_target(text: Column) -> Column:
     return F.when(text.rlike("^#?(REDIRECT|redirect|Redirect)"), F.nullif(F.regexp_extract(text, r"\[\[(.+?)\]\]", 1), F.lit("")))
 
 
+def _whole(x: Column) -> Column:
+    return F.coalesce(x, F.lit(False))
+
+
+def dump_title(title: Column) -> Column:
+    """Not an image, stub, list, portal, disambiguation or project page by its title. A null title passes."""
+    anywhere = r"-stub|\([Dd]isambiguation\)|Articles for deletion|Today's featured article|Featured article candidates"
+    begins = "^(User|Selected anniversaries|List |Portal |Peer review/|Requests for adminship/|Featured list candidates/|Sockpuppet investigations/|Categories for)"
+    return ~_whole(title.rlike(anywhere) | title.rlike(begins) | title.endswith(".jpg") | title.endswith(".png"))
+
+
+def dump_intro(intro: Column) -> Column:
+    """An intro that is not empty and not that of a redirect, category, portal or disambiguation page. A null intro passes."""
+    first = F.substring(intro, 1, 100)
+    refers = first.rlike("may refer to|most often refers|most commonly refers|[Pp]ortal:")
+    return ~_whole((intro == "") | intro.rlike("^#?(REDIRECT|redirect|Redirect)") | intro.contains("Category:") | intro.startswith("<noinclude>") | refers)
+
+
+def candidate_page(title: Column, intro: Column) -> Column:
+    """A page that may answer a search: a usable title and an intro of more than 50 characters that is about one thing."""
+    first = F.substring(intro, 1, 50)
+    bad = first.rlike("Category:|is the name of|may refer to|can refer to|most commonly refers to|is a surname") | F.substring(intro, 1, 80).contains("usually refers to")
+    return _whole(~F.coalesce(title, F.lit("")).rlike("stub|User|Wikipedia:|disambiguation") & ~bad & (F.length(intro) > 50) & intro.rlike(r"\S"))
+
+
 def clean_names(names: Column) -> Column:
     """Names without link markup, those ending in a colon dropped, accent-free spellings added; sorted, distinct."""
     bare = F.transform(names, lambda n: F.trim(F.regexp_replace(F.trim(F.regexp_replace(n, r"\|.+?\]\]", "")), r"\[|\]", "")))
@@ -98,10 +123,10 @@ def _box(texts: pd.Series) -> pd.DataFrame:
 def parse_articles(pages: DataFrame, redirects: DataFrame) -> DataFrame:
     """Dump pages (title, text) and merged redirects (target, sources) -> the encyclopedia table.
 
-    Redirect pages are not articles. One equi-join on the title; brace matching is the only step in Python.
+    Redirect pages and those that :func:`dump_title` or :func:`dump_intro` skip are not articles. One equi-join on the title; brace matching is the only step in Python.
     """
     intro = F.split(F.col("text"), r"\n==[^=]", 2)[0]
-    x = pages.where(redirect_target(F.col("text")).isNull()).select("title", "text", intro.alias("intro"), _box("text").alias("box"))
+    x = pages.where(redirect_target(F.col("text")).isNull() & dump_title(F.col("title"))).select("title", "text", intro.alias("intro"), _box("text").alias("box"))
     x = x.join(redirects.select(F.col("target").alias("title"), "sources"), "title", "left")
     cell = lambda k: split_names(F.element_at("box.infobox", k))
     names = F.concat(bold_names(F.col("intro")), *map(cell, NAME_KEYS))
@@ -109,7 +134,7 @@ def parse_articles(pages: DataFrame, redirects: DataFrame) -> DataFrame:
     for _ in range(4):  # templates within templates
         bare = F.regexp_replace(bare, r"\{\{[^{}]*\}\}", "")
     plain = F.regexp_replace(F.regexp_replace(bare, r"^\s+|\s+$", ""), r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]", "$1")
-    return x.select(
+    out = x.select(
         "title",
         F.nullif(F.regexp_extract("text", r"\{\{[Ss]hort description\|(.+?)\}\}", 1), F.lit("")).alias("short_desc"),
         F.trim(F.regexp_replace(F.regexp_replace(plain, "'{2,3}", ""), r"^(.*?)\(.+?\)", "$1")).alias("intro_para"),
@@ -120,6 +145,7 @@ def parse_articles(pages: DataFrame, redirects: DataFrame) -> DataFrame:
         F.map_filter("box.infobox", lambda k, _: k != "map").alias("infobox"),
         categories(F.col("text")).alias("categories"),
     )
+    return out.where(dump_intro(F.col("intro_para")))
 
 
 def merge_redirects(links: DataFrame) -> DataFrame:

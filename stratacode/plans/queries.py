@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import pages as P
 from ..functions import text as T
 from ..operators import events as E
 from ..operators import match as M
@@ -178,6 +179,13 @@ def page_filters(spark, d):
     return p.where(~F.col("title").rlike(r"\.(jpg|png)$|-stub|^User|^List |^Portal ") & (F.length("title") > 10)).select("page_id", "title")
 
 
+def page_predicates(spark, d):
+    """P11, P12 and P13 as wholes, on the title and the first paragraph of each page."""
+    p = read(spark, d, "pages").select("page_id", F.regexp_extract("html", r"<title>(.*?)</title>", 1).alias("title"), F.trim(F.regexp_extract("html", r"(?s)<p>(.*?)</p>", 1)).alias("intro"))
+    t, i = F.col("title"), F.col("intro")
+    return p.select("page_id", P.dump_title(t).alias("dump_title"), P.dump_intro(i).alias("dump_intro"), P.candidate_page(t, i).alias("candidate"))
+
+
 def sentence_context(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text", F.get(F.split("text", " "), F.lit(2)).alias("actor")).where("actor is not null")
     return M.first_sentence_with(docs, F.col("actor")).select("doc_id", "sentence")
@@ -199,7 +207,7 @@ def pair_combinations(spark, d):
     return a.join(a.select("n_regionkey", F.col("a").alias("b")), "n_regionkey").where("a < b").select("a", "b")
 
 
-QUERIES = {f.__name__: f for f in (flagship, explode_events, question_fill, type_without_question, country_grep, clean_query, nearest_agent, threshold_labels, span_overlap, answer_sum, pivot_scores, assign_best, keep_last_question, keep_last_whole_question, most_common_first_seen, code_priority, clean_best, active_office, fulltext_topk, fulltext_all_terms, canonical_page, page_filters, sentence_context, relative_date, wide_table, pair_combinations)}
+QUERIES = {f.__name__: f for f in (flagship, explode_events, question_fill, type_without_question, country_grep, clean_query, nearest_agent, threshold_labels, span_overlap, answer_sum, pivot_scores, assign_best, keep_last_question, keep_last_whole_question, most_common_first_seen, code_priority, clean_best, active_office, fulltext_topk, fulltext_all_terms, canonical_page, page_filters, page_predicates, sentence_context, relative_date, wide_table, pair_combinations)}
 
 _CODE = "CASE WHEN n_name LIKE 'NATION_10%' THEN 'TEN' WHEN n_name LIKE 'NATION_20%' THEN 'TWENTY' WHEN n_name LIKE 'NATION_1%' THEN 'ONE' WHEN n_name LIKE 'NATION_2%' THEN 'TWO' END"
 _REST = "CASE WHEN n_name LIKE 'NATION_10%' THEN substr(n_name, 10) WHEN n_name LIKE 'NATION_20%' THEN substr(n_name, 10) WHEN n_name LIKE 'NATION_1%' THEN substr(n_name, 9) WHEN n_name LIKE 'NATION_2%' THEN substr(n_name, 9) END"
@@ -261,6 +269,14 @@ h AS (SELECT query_id, doc_id, count(*) AS c, CAST(sum(tf) AS BIGINT) AS score F
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h JOIN n USING (query_id) WHERE c = n QUALIFY rank <= 200""",
     "canonical_page": r"SELECT regexp_replace(regexp_replace(regexp_replace(url, '[#?].*$', ''), '^https?://', ''), '^(www|m|blog)\.', '') AS canonical, min(page_id) AS page_id, count(*) AS n_redirects FROM pages GROUP BY ALL",
     "page_filters": r"WITH p AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages) SELECT page_id, title FROM p WHERE NOT regexp_matches(title, '\.(jpg|png)$|-stub|^User|^List |^Portal ') AND length(title) > 10",
+    "page_predicates": r"""WITH p AS (SELECT page_id, coalesce(regexp_extract(html, '<title>(.*?)</title>', 1), '') AS t, html IS NULL AS no_page, trim(coalesce(regexp_extract(html, '(?s)<p>(.*?)</p>', 1), '')) AS i FROM pages)
+SELECT page_id, NOT (t LIKE '%.jpg' OR t LIKE '%.png' OR contains(t, '-stub') OR t LIKE 'User%' OR t LIKE 'Selected anniversaries%' OR contains(t, '(disambiguation)') OR contains(t, '(Disambiguation)')
+  OR contains(t, 'Articles for deletion') OR t LIKE 'List %' OR t LIKE 'Portal %' OR contains(t, 'Today''s featured article') OR contains(t, 'Featured article candidates') OR t LIKE 'Peer review/%'
+  OR t LIKE 'Requests for adminship/%' OR t LIKE 'Featured list candidates/%' OR t LIKE 'Sockpuppet investigations/%' OR t LIKE 'Categories for%') AS dump_title,
+ no_page OR NOT (i = '' OR ltrim(i, '#') LIKE 'redirect%' AND i NOT LIKE '##%' OR ltrim(i, '#') LIKE 'REDIRECT%' AND i NOT LIKE '##%' OR ltrim(i, '#') LIKE 'Redirect%' AND i NOT LIKE '##%' OR contains(i, 'Category:') OR i LIKE '<noinclude>%'
+  OR contains(left(i, 100), 'may refer to') OR contains(left(i, 100), 'most often refers') OR contains(left(i, 100), 'most commonly refers') OR contains(left(i, 100), 'portal:') OR contains(left(i, 100), 'Portal:')) AS dump_intro,
+ NOT (contains(t, 'stub') OR contains(t, 'User') OR contains(t, 'Wikipedia:') OR contains(t, 'disambiguation') OR contains(left(i, 50), 'Category:') OR contains(left(i, 50), 'is the name of') OR contains(left(i, 50), 'may refer to')
+  OR contains(left(i, 50), 'can refer to') OR contains(left(i, 50), 'most commonly refers to') OR contains(left(i, 50), 'is a surname') OR contains(left(i, 80), 'usually refers to')) AND length(i) > 50 AND regexp_matches(i, '\S') AS candidate FROM p""",
     "sentence_context": r"""WITH d AS (SELECT doc_id, text, string_split(text, ' ')[3] AS actor FROM documents)
 SELECT doc_id, coalesce(list_filter(regexp_split_to_array(text, '\. |\n'), lambda s: contains(s, actor))[1], '') AS sentence FROM d WHERE actor IS NOT NULL""",
     "relative_date": """WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS p, o_orderkey % 8 AS k FROM orders)
