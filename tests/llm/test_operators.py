@@ -158,6 +158,19 @@ def test_mix(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{"a": [20], "b": [10], None: [30]}, {"a": [40], "b": [7, 0, 6], "c": [65, 65], None: [1] * 5}, {"a": [3000], "b": [2], "c": [1]}])
+def test_mix_fills_small_sources(spark, sizes):
+    rows = [(i, " ".join(["w"] * n), s) for i, (s, n) in enumerate((s, n) for s, ns in sizes.items() for n in ns)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by = defaultdict(list)
+    for r in mixing.mix(d).collect():
+        assert 0 <= r.taken <= 2 * r.size
+        by[r.source].append(r)
+    for s, rs in by.items():
+        assert rs[0].target > 0 and -1e-3 <= rs[0].target - sum(r.taken for r in rs) < 1
+    assert {s for s, rs in by.items() if rs[0].target >= rs[0].source_size} <= {r.source for r in mixing.mixed(d).collect()}
+
+
 def test_packing(spark, docs, texts):
     rng = random.Random(1)
     lengths = [rng.randint(1, 64) for _ in range(400)]
