@@ -85,19 +85,23 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per: int) -> dict[int, list[bytes]]:
-    """Whole texts of at most ``per`` labelled rows of each class, first by a hash of doc_id, SAMPLE_BYTES in all.
+    """Whole texts of at most ``per`` labelled rows of each class, first by a hash of doc_id, half of SAMPLE_BYTES a class.
 
-    Rows with a null label, doc_id or text are left out.
+    A row that doesn't fit in what is left of its class is left out alone and not counted; so are rows with a
+    null label, doc_id or text.
     """
     y = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
     order = F.xxhash64(F.lit(5), "doc_id")
     keys = y.where("quality = 1").orderBy(order, "doc_id").limit(per).unionByName(y.where("quality = 0").orderBy(order, "doc_id").limit(per))
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(keys), "doc_id")  # 2 x per keys at most
-    found, used = [], 0
+    most = SAMPLE_BYTES // 2
+    rows = rows.where(F.octet_length("text") <= most).orderBy("quality", order, "doc_id", F.xxhash64("text"))
+    found, used = [], {0: 0, 1: 0}
     for r in rows.toLocalIterator():
-        used += len(r.text)
-        if used < SAMPLE_BYTES:
-            found.append((r.doc_id, r.quality, r.text.encode()))
+        text = r.text.encode()
+        if used[r.quality] + len(text) <= most:
+            used[r.quality] += len(text)
+            found.append((r.doc_id, r.quality, text))
     found.sort(key=lambda r: (xxhash.xxh3_64_intdigest(b"%d" % r[0]), r[2]))
     return {k: [t for _, q, t in found if q == k] for k in (0, 1)}
 

@@ -221,6 +221,18 @@ def test_classifiers(spark):
     assert got[9999].base_failed and not got[9999].kept
 
 
+def test_sample_bound_skips_only_rows_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 2000)
+    rows = [(0, "x" * 5000), (1, "é" * 600), *[(i, "ab" * 20) for i in range(2, 122)]]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    y = spark.createDataFrame([(i, i % 2) for i in range(122)], "doc_id long, quality int")
+    got = quality.labelled_sample(d, y, 200)
+    assert {k: (len(v), set(map(len, v))) for k, v in got.items()} == {0: (25, {40}), 1: (25, {40})}
+    order = [r.doc_id for r in y.where("doc_id > 1 and quality = 0").orderBy(quality.F.xxhash64(quality.F.lit(5), "doc_id")).collect()]
+    d = d.where("doc_id < 2").unionByName(d.where("doc_id > 1").withColumn("text", quality.F.format_string("%040d", "doc_id")))
+    assert {int(t) for t in quality.labelled_sample(d, y, 200)[0]} == set(order[:25])
+
+
 def test_rule_counts(texts):
     memo = rules.WordHash()
     for t in [*texts, "a b c d e f a b c d e\na b c d e # |\n\nx\nx"]:
