@@ -290,19 +290,23 @@ def load(path: str | None = None) -> Model:
     return Model(path or default_model())
 
 
-def _digests(model_path: str | None):
+CODED = "doc_id long, ids array<int>, decoded string, n_ids long, ids_sha256 string, decoded_sha256 string, lossless boolean"
+
+
+def _coded(model_path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model_path)
-        for b in batches:
-            n, ids_sha, text_sha, same = [], [], [], []
-            texts = [x or "" for x in b.column("text").to_pylist()]
-            for text, raw in zip(texts, m.encode_many(texts), strict=True):
-                back = m.decode(np.frombuffer(raw, np.int32).tolist())
-                n.append(len(raw) // 4)
-                ids_sha.append(hashlib.sha256(raw).hexdigest())
-                text_sha.append(hashlib.sha256(back.encode()).hexdigest())
-                same.append(back == text)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids_sha256", "decoded_sha256", "lossless"])
+        for big in batches:
+            for i in range(0, big.num_rows, 1024):
+                b = big.slice(i, 1024)
+                texts = [x or "" for x in b.column("text").to_pylist()]
+                raw = m.encode_many(texts)
+                n = [len(x) // 4 for x in raw]
+                back = [m.decode(np.frombuffer(x, np.int32).tolist()) for x in raw]
+                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), np.int32)))
+                shas = [pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in (raw, [x.encode() for x in back])]
+                same = pa.array([x == t for x, t in zip(back, texts, strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(back, pa.string()), pa.array(n, pa.int64()), *shas, same], [c.split()[0] for c in CODED.split(", ")])
 
     return run
 
@@ -367,6 +371,6 @@ def tokenised(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Each whole document is encoded and decoded again; null or empty text has no ids and the empty text's digests."""
+    """Each whole document as piece ids and as their decoded text, with digests of both; null or empty text has no ids and the empty text."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.mapInArrow(_digests(None), "doc_id long, n_ids long, ids_sha256 string, decoded_sha256 string, lossless boolean")
+    return d.mapInArrow(_coded(None), CODED)

@@ -129,6 +129,19 @@ def test_sentencepiece_columns(spark, docs, texts):
     assert len(got) == len(texts) + 1 and all(r.lossless for r in got)
 
 
+def test_op3_returns_ids_and_text(spark, docs, texts, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    m, want = sentencepiece.load(), {i + 1: t or "" for i, t in enumerate(texts)} | {None: "a null id"}
+    got = {r.doc_id: r for r in sentencepiece.op3_sentencepiece(spark, str(tmp_path)).collect()}
+    both = {r.doc_id: r for r in sentencepiece.decode_column(sentencepiece.encode_column(docs)).collect()}
+    assert set(got) == set(both) == set(want)
+    for i, t in want.items():
+        r, raw = got[i], m.encode_bytes(t)
+        assert (r.ids, r.decoded, r.n_ids, r.lossless) == (m.encode(t), t, len(raw) // 4, True)
+        assert (r.ids_sha256, r.decoded_sha256) == tuple(hashlib.sha256(x).hexdigest() for x in (raw, t.encode()))
+        assert (both[i].ids, both[i].decoded) == (r.ids, t)
+
+
 def test_media():
     rng = np.random.default_rng(0)
     for n in (1, 5, 6, 7, 30):
