@@ -184,6 +184,34 @@ def test_mix_fills_small_sources(spark, sizes):
     assert {s for s, rs in by.items() if rs[0].target >= rs[0].source_size} <= {r.source for r in mixing.mixed(d).collect()}
 
 
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """All stages on copies, near copies, null and repeated ids, U+FFFD, a cut character and small sources; no labels, so no text is rejected."""
+    rng = random.Random(12)
+    t, u, v = (words(rng, 80) for _ in range(3))
+    shared = "é" + words(rng, 60) + "é"
+    texts = [(7, t, "a"), (7, t, "a"), (None, t, "b"), (8, t + " tail", "a"), (None, u, None), (9, v, "b"), (10, v, "b"), (1, None, "a"), (2, " ", "a")]
+    texts += [(11, words(rng, 90) + " \ufffd " + shared + "x", "a"), (12, words(rng, 90) + " ê" + shared[1:] + "y", "a"), (13, "only two", "c")]
+    d = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    of = brute_components({i: x[1] for i, x in enumerate(sorted(texts, key=lambda x: (x[0] is None, x[0] or 0)))}, 5)
+    rows = sorted(texts, key=lambda x: (x[0] is None, x[0] or 0))
+    left = [rows[i] for i in of if of[i][1] == i]
+    assert len(left) == 8
+    cut = [x.decode("utf-8", "ignore") for x in brute_repeats([(x[1] or "").encode() for x in left], 200)]
+    stages = dict(corpus_pipeline.STAGES)
+    after = d
+    for name in ("near duplicates", "repeated strings"):
+        after = stages[name](spark, after, str(tmp_path))
+    want = Counter((x[0], x[2], c) for x, c in zip(left, cut, strict=True))
+    assert Counter((r.doc_id, r.source, r.text or "") for r in after.collect()) == want
+    assert any("\ufffd" in c and len(c) < len(x[1]) for x, c in zip(left, cut, strict=True))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    m, times = sentencepiece.load(), Counter((r.doc_id, r.source, r.text) for r in got)
+    assert set(times) <= set(want) and max(times.values()) <= 2 and {r.source for r in got} == {"a", "b", "c", None}
+    assert all(r.lossless and r.ids == m.encode(r.text) and r.n_ids == len(r.ids) for r in got)
+
+
 def test_packing(spark, docs, texts):
     rng = random.Random(1)
     lengths = [rng.randint(1, 64) for _ in range(400)]
