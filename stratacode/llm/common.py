@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A word: anything between ASCII white space. ``bytes.split()`` cuts at exactly these bytes.
@@ -17,9 +18,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary one in local mode (tests), where all share the machine; else an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stratacode-"))
@@ -32,7 +38,11 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 
 def written(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
+    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
+
+    The switch lets Spark delete the query's shuffle files when it ends, rather than when the driver
+    next collects garbage: a chain of steps then holds the disk of one step's shuffle, not of all.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
     was = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # nothing reads this query's shuffle files once it is written
@@ -54,10 +64,19 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps now rather than at the driver's next collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+def join_hot(rows: DataFrame, by: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+    """``rows`` joined with ``by``, a written frame with a row for each key and its number of rows in ``count``.
+
+    Keys with more than a thousandth of all rows, of which there are fewer than a thousand, are dealt
+    over 64 tasks each by a hash of the column ``spread``.
+    """
+    total = by.agg(F.sum(count)).first()[0] or 0
+    hot = [r[0] for r in by.where(F.col(count) > max(1000, total // 1000)).select(key).collect()]
+    if not hot:
+        return rows.join(by, key)
+    salted = rows.withColumn("join_salt", F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(spread), F.lit(64))).otherwise(F.lit(0)))
+    copies = F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
+    return salted.join(by.withColumn("join_salt", copies), [key, "join_salt"]).drop("join_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +95,16 @@ def blobs(column: pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+def sliced(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have ``most`` bytes at most, or of one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_string())), 0).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + most, side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 class WordHash(dict):
     """Memo of 64-bit word hashes; emptied when full, so that a worker's memory stays bounded."""
 

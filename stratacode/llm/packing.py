@@ -9,18 +9,21 @@ WINDOW_TOKENS; a lost task is simply run again.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sentencepiece
-from .common import table
+from .common import sliced, table, written
 
 LENGTH, WINDOW_TOKENS = 2048, 8_000_000
+NO_DOC = -(1 << 63)
 PACK_SCHEMA = "pack_id long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, doc_offsets array<int>"
 
 
@@ -109,7 +112,8 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, model_path: str | None
     the segments. position_resets: where positions begin again at 0. doc_ids and doc_offsets:
     each segment's document and its first token within it, so that all documents can be put
     together again (:func:`unpack`). Texts without ids (null, empty) are in no pack. Rows that
-    repeat a doc_id are packed each.
+    repeat a doc_id, or have none, are packed each. Extra columns are ignored; an empty table
+    gives no packs. A pack never spans input partitions, so their number depends on the files' layout.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,11 +122,11 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, model_path: str | None
         held: list[tuple[int | None, bytes]] = []
         tokens = 0
         for big in batches:
-            for i in range(0, big.num_rows, 512):
-                b = big.slice(i, 512)
-                raws = m.encode_many([x or "" for x in b.column("text").to_pylist()])
-                held += [(d, r) for d, r in zip(b.column("doc_id").to_pylist(), raws, strict=True) if r]
-                tokens += sum(map(len, raws)) // 4
+            for b in sliced(big, "text", sentencepiece.GROUP_BYTES):
+                ids, at = m.encode_array(b.column("text"))
+                raw, ends = ids.tobytes(), (4 * at).tolist()
+                held += [(d, raw[x:y]) for d, x, y in zip(b.column("doc_id").to_pylist(), ends[:-1], ends[1:], strict=True) if y > x]
+                tokens += len(ids)
                 if tokens >= WINDOW_TOKENS:
                     out = pack(held, length, next_id)
                     next_id += out.num_rows
@@ -137,6 +141,58 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, model_path: str | None
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PACK_SCHEMA)
 
 
+def write_shards(packs: DataFrame, path: str) -> DataFrame:
+    """Packs -> binary shards under ``path``; a row (shard, packs, length) for each.
+
+    A shard is two files: ``.bin``, its packs' id matrix, ``length`` little-endian int32 a row; and ``.seg``, for
+    each pack its pack_id (int64), its number of segments k (int64), k + 1 cumulative lengths, k documents and k
+    offsets (int64 each; the smallest int64 for a null document). Position resets are the cumulative lengths but
+    the last. A task that is run again writes files of another name, of which only those of finished tasks are named.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store.create_dir(root, recursive=True)
+        name, n, length = f"shard-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}", 0, 0
+        streams = []
+        for b in batches:
+            if b.num_rows and not streams:
+                streams = [store.open_output_stream(f"{root}/{name}.{x}") for x in ("bin", "seg")]
+            for pack_id, ids, cu, docs, offsets in zip(*(b.column(c).to_pylist() for c in ("pack_id", "ids", "cu_seqlens", "doc_ids", "doc_offsets")), strict=True):
+                streams[0].write(ids)
+                streams[1].write(np.array([pack_id, len(docs), *cu, *(NO_DOC if x is None else x for x in docs), *offsets], np.int64).tobytes())
+                n, length = n + 1, len(ids) // 4
+        for x in streams:
+            x.close()
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([f"{path}/{name}"]), pa.array([n], pa.int64()), pa.array([length], pa.int32())], ["shard", "packs", "length"])
+
+    return written(packs.mapInArrow(run, "shard string, packs long, length int"), "shards")
+
+
+def read_shards(shards: DataFrame) -> DataFrame:
+    """The frame that :func:`write_shards` returns -> packs again, as PACK_SCHEMA says; a shard is read a bounded piece at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, packs, length in zip(*(b.column(c).to_pylist() for c in ("shard", "packs", "length")), strict=True):
+                store, at = fs.FileSystem.from_uri(shard) if "://" in shard or shard.startswith("file:") else (fs.LocalFileSystem(), shard)
+                with store.open_input_stream(f"{at}.bin") as rows, store.open_input_stream(f"{at}.seg") as segments:
+                    for i in range(0, packs, 1024):
+                        cols: list[list] = [[] for _ in range(7)]
+                        for _ in range(min(1024, packs - i)):
+                            pack_id, k = np.frombuffer(segments.read(16), np.int64).tolist()
+                            v = np.frombuffer(segments.read(8 * (3 * k + 1)), np.int64).tolist()
+                            docs = [None if x == NO_DOC else x for x in v[k + 1 : 2 * k + 1]]
+                            for c, x in zip(cols, (pack_id, rows.read(4 * length), v[k], v[: k + 1], v[:k], docs, v[2 * k + 1 :]), strict=True):
+                                c.append(x)
+                        i32 = pa.list_(pa.int32())
+                        kinds = [pa.int64(), pa.binary(), pa.int32(), i32, i32, pa.list_(pa.int64()), i32]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [c.split()[0] for c in PACK_SCHEMA.split(", ")])
+
+    return shards.repartition(max(1, min(10_000, shards.count()))).mapInArrow(run, PACK_SCHEMA)
+
+
 def unpack(packs: DataFrame) -> DataFrame:
     """Packs -> doc_id, ids binary: every document whole again."""
     seg = packs.select("ids", F.explode(F.arrays_zip("doc_ids", "doc_offsets", F.col("position_resets").alias("a"), F.slice("cu_seqlens", 2, 2_000_000_000).alias("b"))).alias("s"))

@@ -11,21 +11,24 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import blobs, sliced, table
 
 MARK = "▁"
-PARTS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 VOCABULARY = "piece_bpe_32k.model"
+#: Bytes of text that are split and looked up at once.
+GROUP_BYTES = 8_000_000
+#: Words whose ids are remembered; beyond, a worker begins anew.
+KNOWN_WORDS = 500_000
 
 
 def default_model() -> str:
@@ -133,11 +136,12 @@ class Model:
         self.unk_id = next((i for i, p in enumerate(pieces) if p[2] == UNKNOWN), 0)
         self.byte_ids = {int(p[1:-1], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
         self.surface = [bytes([int(p[1:-1], 16)]) if t == BYTE else b"" if t == CONTROL else p.replace(MARK, " ").encode() for p, _, t in pieces]
+        self.surfaces = pa.array(self.surface, pa.large_binary())
         #: No piece has a marker behind another character, so a text may be cut before markers; nor a newline beside anything.
         self.cuts_at_mark = not any(MARK in self.pieces[i].lstrip(MARK) for i in matched)
         self.cuts_at_newline = not any("\n" in self.pieces[i] and len(self.pieces[i]) > 1 for i in matched)
         self.arrays = (np.array(self.trie.base), np.array(self.trie.check), np.array(self.trie.value), np.array(self.scores))
-        self.memo: dict[str, bytes] = {}
+        self.known, self.known_ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the best segmentation of a text in which spaces are already markers."""
@@ -182,12 +186,40 @@ class Model:
             j = i
         return out[::-1]
 
-    def viterbi_many(self, words: list[bytes]) -> list[bytes]:
-        """int32 ids of many short texts at once: one Viterbi step in numpy serves the same position of all of them."""
+    def viterbi_many(self, words: pa.Array) -> pa.LargeBinaryArray:
+        """int32 ids of many texts. Short ones, in order of length, go many at once: one Viterbi step in numpy serves the same position of all."""
+        raw = words.cast(pa.large_binary())
+        ends = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, 8 * raw.offset)
+        flat, lens = np.frombuffer(raw.buffers()[2] or b"", np.uint8), np.diff(ends)
+        order = np.argsort(lens, kind="stable")
+        order = order[(lens[order] > 0) & (lens[order] <= 64)]
+        found, where = [], []
+        for k in range(0, len(order), 16384):
+            own = order[k : k + 16384]
+            wide = int(lens[own[-1]])
+            text = np.zeros((len(own), wide + 1), np.int64)
+            col = np.arange(wide)
+            inside = col < lens[own, None]
+            text[:, :wide][inside] = flat[(ends[own, None] + col)[inside]]
+            ids, count, one_by_one = self._viterbi_block(text.ravel(), lens[own], wide + 1)
+            one_by_one |= ((text[:, :wide] == 0) & inside).any(axis=1)  # no piece has byte 0 in the block
+            at = np.concatenate([[0], np.cumsum(4 * count)])
+            block = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids)])
+            found.append(block.filter(pa.array(~one_by_one)))
+            where.append(own[~one_by_one])
+        left = np.ones(len(words), bool)
+        for own in where:
+            left[own] = False
+        rest = np.flatnonzero(left)
+        found.append(pa.array([np.array(self.viterbi(words[int(i)].as_py()), np.int32).tobytes() for i in rest], pa.large_binary()))
+        back = np.empty(len(words), np.int64)
+        back[np.concatenate([*where, rest])] = np.arange(len(words))
+        return pa.concat_arrays(found).take(pa.array(back))
+
+    def _viterbi_block(self, text: np.ndarray, lens: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts of at most ``wide`` - 1 bytes in rows of ``wide`` -> ids one text after another, ids of each, and whether it has an unknown character."""
         base, check, value, scores = self.arrays
-        lens = np.array([len(w) for w in words])
-        n, wide = len(words), int(lens.max()) + 1
-        text = np.frombuffer(b"".join(w.ljust(wide, b"\0") for w in words), np.uint8).astype(np.int64)  # no piece has byte 0 here
+        n = len(lens)
         best = np.full(n * wide, -np.inf)
         back, piece = np.zeros(n * wide, np.int16), np.full(n * wide, -1, np.int32)
         origin = np.arange(n) * wide
@@ -225,52 +257,71 @@ class Model:
             count[rows] += 1
             at[rows] = back[here]
             rows = rows[at[rows] > 0]
-        return [np.array(self.viterbi(w.decode()), np.int32).tobytes() if u else ids[r, wide - c :].tobytes() for r, (w, c, u) in enumerate(zip(words, count.tolist(), unknown.tolist(), strict=True))]
-
-    def _learn(self, words: set[str]) -> None:
-        """Put the ids of new words into the memo."""
-        short: list[tuple[bytes, str]] = []
-        for w in words:
-            b = w.encode()
-            if 0 < len(b) <= 64 and b"\0" not in b:
-                short.append((b, w))
-            else:
-                self.memo[w] = np.array(self.viterbi(w), np.int32).tobytes()
-        short.sort(key=lambda x: len(x[0]))
-        for k in range(0, len(short), 4096):
-            part = short[k : k + 4096]
-            self.memo.update(zip((w for _, w in part), self.viterbi_many([b for b, _ in part]), strict=True))
-
-    def _cut(self, text: str) -> list[str]:
-        """Parts of a text that no piece straddles, with spaces as markers."""
+        return ids[np.arange(wide) >= wide - count[:, None]], count, unknown
+
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
+        """Parts of each text that no piece straddles, with spaces as markers; some may be empty."""
         if self.collapse_spaces:
-            text = " ".join(x for x in text.split(" ") if x)
-        if not text:
-            return []
+            texts = pc.utf8_trim(pc.replace_substring_regex(texts, " +", " "), " ")
         if self.add_dummy_prefix:
-            text = " " + text
+            texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(" ", texts, ""))
         if not (self.cuts_at_mark and self.cuts_at_newline and self.escape_spaces):
-            return [text.replace(" ", MARK) if self.escape_spaces else text]
-        if "  " in text or MARK in text:
-            return PARTS.findall(text.replace(" ", MARK))
-        return text.replace(" ", " " + MARK).replace("\n", " \n ").split(" ")
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Little-endian int32 ids of each text; texts are taken in groups of bounded size."""
-        out: list[bytes] = []
+            whole = pc.replace_substring(texts, " ", MARK) if self.escape_spaces else texts
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1, dtype=np.int32)), whole)
+        runs = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK))
+        if not pc.any(runs).as_py():
+            return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", " " + MARK), "\n", " \n "), " ")
+        marked = pc.replace_substring(texts, " ", MARK)
+        return pc.split_pattern(pc.replace_substring(pc.replace_substring_regex(marked, f"({MARK}+)", r" \1"), "\n", " \n "), " ")
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, int64 offsets: where each text's begin and end). Null text: no ids.
+
+        A group of texts of bounded size at a time is split and dictionary-encoded in Arrow, so that
+        only distinct words are looked up, and only new ones searched.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        found: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         i = 0
         while i < len(texts):
-            j, chars = i, 0
-            while j < len(texts) and (j == i or chars + len(texts[j]) < 1_500_000):
-                chars += len(texts[j])
-                j += 1
-            cut = [self._cut(t) for t in texts[i:j]]
-            self._learn(set().union(*cut) - self.memo.keys())
-            out += [b"".join(map(self.memo.__getitem__, c)) for c in cut]
-            if len(self.memo) > 500_000:
-                self.memo.clear()
+            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + GROUP_BYTES)))
+            lists = self._cut(texts.slice(i, j - i))
+            parts = lists.flatten().dictionary_encode()
+            if len(self.known) > KNOWN_WORDS:
+                self.known, self.known_ids = self.known[:0], self.known_ids[:0]
+            at_known = pc.index_in(parts.dictionary, value_set=self.known)
+            new = parts.dictionary.filter(pc.is_null(at_known))
+            known = len(self.known)
+            if len(new):
+                self.known, self.known_ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.known_ids, self.viterbi_many(new)])
+            word = at_known.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+            word[word < 0] = np.arange(known, known + len(new))
+            coded = self.known_ids.take(pa.array(word[parts.indices.to_numpy()]))
+            at = np.frombuffer(coded.buffers()[1], np.int64, len(coded) + 1, 8 * coded.offset) // 4
+            found.append(np.frombuffer(coded.buffers()[2], np.int32)[at[0] : at[-1]] if at[-1] > at[0] else np.empty(0, np.int32))
+            ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            counts.append(np.diff(at[ends]))
             i = j
-        return out
+        flat = np.concatenate(found) if found else np.empty(0, np.int32)
+        return flat, np.concatenate([[0], np.cumsum(np.concatenate(counts) if counts else np.empty(0, np.int64))]).astype(np.int64)
+
+    def decode_array(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The bytes of each text whose ids are ids[at[k]:at[k + 1]]."""
+        if not len(ids):
+            return [b""] * (len(at) - 1)
+        got = self.surfaces.take(pa.array(ids))
+        ends = np.frombuffer(got.buffers()[1], np.int64, len(got) + 1, 8 * got.offset)[at].tolist()
+        raw = got.buffers()[2].to_pybytes()
+        cut = 1 if self.add_dummy_prefix else 0
+        return [raw[x + 1 : y] if cut and raw[x : x + 1] == b" " and y > x else raw[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian int32 ids of each text."""
+        ids, at = self.encode_array(pa.array(texts, pa.string()))
+        raw, ends = ids.tobytes(), (4 * at).tolist()
+        return [raw[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
 
     def encode_bytes(self, text: str) -> bytes:
         return self.encode_many([text])[0]
@@ -293,20 +344,23 @@ def load(path: str | None = None) -> Model:
 CODED = "doc_id long, ids array<int>, decoded string, n_ids long, ids_sha256 string, decoded_sha256 string, lossless boolean"
 
 
+def _lists(ids: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+
+
 def _coded(model_path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model_path)
         for big in batches:
-            for i in range(0, big.num_rows, 1024):
-                b = big.slice(i, 1024)
-                texts = [x or "" for x in b.column("text").to_pylist()]
-                raw = m.encode_many(texts)
-                n = [len(x) // 4 for x in raw]
-                back = [m.decode(np.frombuffer(x, np.int32).tolist()) for x in raw]
-                ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-                shas = [pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in (raw, [x.encode() for x in back])]
-                same = pa.array([x == t for x, t in zip(back, texts, strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids, pa.array(back, pa.string()), pa.array(n, pa.int64()), *shas, same], [c.split()[0] for c in CODED.split(", ")])
+            for b in sliced(big, "text", GROUP_BYTES):
+                ids, at = m.encode_array(b.column("text"))
+                back = m.decode_array(ids, at)
+                raw, ends = ids.tobytes(), (4 * at).tolist()
+                coded = (raw[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True))
+                shas = [pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in (coded, back)]
+                same = pa.array([x == t for x, t in zip(back, blobs(b.column("text")), strict=True)], pa.bool_())
+                decoded = pa.array([x.decode("utf-8", "replace") for x in back], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids, at), decoded, pa.array(np.diff(at)), *shas, same], [c.split()[0] for c in CODED.split(", ")])
 
     return run
 
@@ -320,11 +374,8 @@ def encode_column(docs: DataFrame, column: str = "text", to: str = "ids", model_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model_path)
-        for b in batches:
-            raw = m.encode_many([x or "" for x in b.column(column).to_pylist()])
-            at = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, to])
+        for b in (x for big in batches for x in sliced(big, column, GROUP_BYTES)):
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(*m.encode_array(b.column(column)))], [*b.schema.names, to])
 
     return docs.mapInArrow(run, schema)
 
@@ -339,7 +390,10 @@ def decode_column(docs: DataFrame, column: str = "ids", to: str = "decoded", mod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model_path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.decode(x.as_py() or []) for x in b.column(column)], pa.string())], [*b.schema.names, to])
+            lists = b.column(column)
+            lens = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            back = m.decode_array(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lens)]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.decode("utf-8", "replace") for x in back], pa.string())], [*b.schema.names, to])
 
     return docs.mapInArrow(run, schema)
 
@@ -357,15 +411,10 @@ def tokenised(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model_path)
         for big in batches:
-            for i in range(0, big.num_rows, 1024):
-                b = big.slice(i, 1024)
-                texts = [x or "" for x in b.column("text").to_pylist()]
-                raw = m.encode_many(texts)
-                n = [len(x) // 4 for x in raw]
-                ids = np.frombuffer(b"".join(raw), np.int32)
-                at = np.cumsum([0, *n]).astype(np.int32)
-                same = [m.decode(ids[x:y].tolist()) == t for x, y, t in zip(at[:-1].tolist(), at[1:].tolist(), texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(at), pa.array(ids)), pa.array(n, pa.int64()), pa.array(same, pa.bool_())], schema.fieldNames())
+            for b in sliced(big, "text", GROUP_BYTES):
+                ids, at = m.encode_array(b.column("text"))
+                same = [x == t for x, t in zip(m.decode_array(ids, at), blobs(b.column("text")), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, _lists(ids, at), pa.array(np.diff(at)), pa.array(same, pa.bool_())], schema.fieldNames())
 
     return docs.mapInArrow(run, schema)
 

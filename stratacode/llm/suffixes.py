@@ -26,12 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, mix64, release, table, written
+from .common import blobs, join_hot, mix64, table, written
 
 GRAM = 32
 #: Records that one bucket sorts; bytes that one vectorised step scans.
 BUCKET, BLOCK = 40_000, 1 << 20
-SAMPLE = 20_000
+#: Sampled suffixes a bucket, of which the driver holds 8 bytes each to pick splitters, and the least sample.
+SAMPLE_A_BUCKET, SAMPLE = 16, 20_000
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = {s: np.uint64(int(mix64(np.array([s * 77], np.uint64))[0]) | 1) for s in (1, 2, 4, 8, 16)}
 
@@ -195,9 +196,27 @@ def _contexts(splitters: np.ndarray, length: int):
     return run
 
 
-def multikey_sort(a: np.ndarray) -> np.ndarray:
-    """Order of the rows of a byte matrix whose width is a multiple of 8; digits are 8 bytes, equal digits are sorted further."""
+def multikey_sort(a: np.ndarray, small: int = 4096) -> np.ndarray:
+    """Order of the rows of a byte matrix whose width is a multiple of 8; digits are 8 bytes.
+
+    Three-way partitions about a median of sampled digits: smaller and larger rows go on with the same digit,
+    equal ones with the next. Parts of at most ``small`` rows are sorted digit by digit, ties alone further.
+    """
     words = a.view(">u8").astype(np.uint64)
+    out, todo = [np.empty(0, np.int64)], [(np.arange(len(words)), 0)]
+    while todo:
+        own, d = todo.pop()
+        if len(own) <= small or d == words.shape[1]:
+            out.append(own[_digits_sort(words[own, d:])] if len(own) > 1 and d < words.shape[1] else own)
+            continue
+        w = words[own, d]
+        pivot = np.sort(w[:: max(1, len(w) // 63)])[min(len(w), 63) // 2]
+        todo += [(own[w > pivot], d), (own[w == pivot], d + 1), (own[w < pivot], d)]
+    return np.concatenate(out)
+
+
+def _digits_sort(words: np.ndarray) -> np.ndarray:
+    """Order of the rows of a matrix of 8-byte digits: by the first, then each group of equals by the next."""
     order = np.argsort(words[:, 0], kind="stable")
     tied = np.concatenate([[False], words[order[1:], 0] == words[order[:-1], 0]])
     for d in range(1, words.shape[1]):
@@ -325,24 +344,22 @@ def remove_repeats(docs: DataFrame, length: int = 200, bucket: int = BUCKET) ->
     base = written(docs.mapInArrow(_anchors(length), f"row long, doc_id long, h64 long, n_bytes long, sha binary, keys {longs}, positions {longs}, starts {longs}, ends {longs}"), "anchors", compression="zstd")
     texts = written(base.groupBy("sha").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.min("n_bytes").alias("n_bytes")), "texts")
     anchors = base.select("row", F.explode(F.arrays_zip("keys", "positions")).alias("x")).select("row", F.col("x.keys").alias("key"), F.col("x.positions").alias("pos"))
-    twice = anchors.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    found = written(anchors.join(twice, "key"), "found", compression="zstd")
+    twice = written(anchors.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "twice", compression="zstd")
+    found = written(join_hot(anchors, twice, "key", "m", "row").drop("m"), "found", compression="zstd")
     cand = written(found.join(texts.select("row"), "row", "left_semi"), "candidates", compression="zstd")
-    release(spark)
     n = cand.count()
     kinds = "row long, start long, end long, name binary, own boolean"
     if n:
         buckets = -(-n // bucket)
-        sample = cand.sample(min(1.0, SAMPLE / n), seed=3).select("key").limit(4 * SAMPLE).toPandas()["key"].to_numpy()  # SAMPLE keys or so, whatever the input
+        # in proportion to the buckets, so that they keep their size: 128 bytes for every 40,000 records
+        sample = cand.sample(min(1.0, max(SAMPLE, SAMPLE_A_BUCKET * buckets) / n), seed=3).select("key").toPandas()["key"].to_numpy()
         sample.sort()
         splitters = sample[(np.arange(1, buckets) * len(sample)) // buckets] if len(sample) else sample
         lists = cand.groupBy("row").agg(F.collect_list(F.struct("key", "pos")).alias("anchors"))
         ids = base.select("row", "h64", F.col("doc_id").alias("id")).join(lists, "row")
         joined = written(docs.join(ids, (docs.h64 == ids.h64) & docs.doc_id.eqNullSafe(ids.id)).select("row", "text", "anchors"), "joined", compression="zstd")
-        release(spark)
         contexts = joined.mapInArrow(_contexts(splitters, length), "bucket long, shared boolean, row long, pos long, ctx binary")
         marks = written(contexts.groupBy("bucket").applyInArrow(_bucket(length), kinds), "marks", compression="zstd")
-        release(spark)
         over = marks.where("name is not null")
         names = over.groupBy("name").agg(F.count("*").alias("m")).where("m > 1").select("name")
         across = over.where("own").join(names, "name").select("row", "start", "end")
