@@ -2,6 +2,7 @@
 
 import json
 import os
+import statistics
 import time
 
 from pyspark.sql import SparkSession
@@ -12,13 +13,15 @@ sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 cpus = os.environ.get("BENCH_CPUS", "8")
 spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 spark.sparkContext.setLogLevel("ERROR")
+RUNS = 3
 times = {}
 for name, query in QUERIES.items():
     runs = []
-    for _ in range(2):  # the second run counts: code is compiled then
+    for n in range(1 + RUNS):
         began = time.perf_counter()
         query(spark, sf).write.format("noop").mode("overwrite").save()
-        runs.append(time.perf_counter() - began)
-    times[name] = round(min(runs), 3)
+        if n:  # the first compiles code
+            runs.append(time.perf_counter() - began)
+    times[name] = round(statistics.median(runs), 3)
 print(json.dumps({"metric": "total seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf}))
 spark.stop()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ CODE_PRIORITY = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, as the one element of an array; used by name it would be copied for each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_query(x: Column) -> Column:
     """Normalise an actor text for search; null gives the empty string."""
     x = F.trim(F.coalesce(x.cast("string"), F.lit("")))

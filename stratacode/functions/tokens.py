@@ -11,6 +11,46 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 SPAN = ArrayType(StructType([StructField("text", StringType()), StructField("qa_start_char", IntegerType()), StructField("qa_end_char", IntegerType())]))
 
 
+def _bounds(toks: list[dict], start: int, end: int) -> tuple[int | None, int | None]:
+    """The tokens that a span begins and ends in: exactly, else one character off; the end may be two or three short or one past as a last try."""
+    near = lambda offsets, at: next((t["i"] for group in offsets for t in toks if at(t) in group), None)
+    first = near([(start,), (start - 1, start + 1)], lambda t: t["idx"])
+    return first, near([(end,), (end - 2,), range(end - 3, end + 2)], lambda t: t["idx"] + len(t["text"]))
+
+
+def expand_tokens(tokens: Iterable[dict], i: int, extra: int | None = None) -> list[dict]:
+    """token ``i`` with its compound and adjective children, and theirs, and one token more; in document order."""
+    by = {t["i"]: t for t in tokens}
+    found, todo = {extra} - {None}, [i]
+    seen: set[int] = set()
+    while todo:
+        if (x := todo.pop()) not in seen:
+            seen.add(x)
+            todo += [t["i"] for t in by.values() if t["head"] == x and t["i"] != x and t["dep"] in ("compound", "amod")]
+    return [by[k] for k in sorted(found | seen)]
+
+
+def expand_actor(tokens: Iterable[dict] | None, start: int, end: int) -> str:
+    """what stands around an answer's tokens: their compounds, and what they are in apposition to; without punctuation, "" where nothing does."""
+    toks = [] if tokens is None else sorted(tokens, key=lambda t: t["i"])
+    first, last = _bounds(toks, start, end)
+    if first is None or last is None:
+        return ""
+    own = {t["i"] for t in toks if first <= t["i"] <= last}
+
+    def tree(i: int) -> set[int]:
+        found, todo = set(), [i]
+        while todo:
+            if (x := todo.pop()) not in found:
+                found.add(x)
+                todo += [t["i"] for t in toks if t["head"] == x and t["i"] != x]
+        return found
+
+    roots = {t["i"] for t in toks if t["head"] in own and t["dep"] == "compound"} | {t["head"] for t in toks if t["i"] in own and t["dep"] == "appos"}
+    around = set().union(*map(tree, roots)) - own if roots else set()
+    return "".join(t["text"] + (t["ws"] or "") for t in toks if t["i"] in around and t.get("pos") != "PUNCT").strip()
+
+
 def co_actors(tokens: Iterable[dict] | None, text: str | None, start: int, end: int) -> list[dict]:
     """The separate actors in the answer ``start:end``; the answer itself where nothing is joined; [] where no token ends near its end.
 
@@ -24,9 +64,7 @@ def co_actors(tokens: Iterable[dict] | None, text: str | None, start: int, end:
     for t in toks:
         if t["head"] != t["i"]:
             kids.setdefault(t["head"], []).append(t["i"])
-    near = lambda at, tolerance, of: next((t["i"] for d in tolerance for t in toks if abs(of(t) - at) <= d), None)
-    first = near(start, (0, 1), lambda t: t["idx"])
-    last = near(end, (0, 1, 2), lambda t: t["idx"] + len(t["text"]))
+    first, last = _bounds(toks, start, end)
     if first is None or last is None:
         return []
 

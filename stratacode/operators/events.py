@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.letters import roll_up
+
 DEFAULT_QUESTIONS = {
     "ACTOR": "Who did the {type} to someone?",
     "LOC": "Where did the {type} take place?",
@@ -60,38 +62,46 @@ def pivot_scores(scores: DataFrame, attrs: list) -> DataFrame:
     return scores.groupBy("event", "text").agg(*cols)
 
 
-def assign_best(scores: DataFrame, attrs: list) -> DataFrame:
-    """Each attribute gets a text of its own so that the total score is largest; exact, by dynamic programming in an expression.
+def assign_best(scores: DataFrame, attrs: list, keep: str | None = None) -> DataFrame:
+    """Each attribute gets a text of its own so that the total score is largest; exact, in an expression.
 
-    ``scores``: (event, attr, text, score), one row for each text. An event's texts are folded into
-    2^attributes states (the best total and choice for each set of served attributes), so the work is
-    linear in its texts. A text serves one attribute at most; unserved attributes are absent. Ties:
-    the state reached first, texts in order. -> event, attr, text, score.
+    ``scores``: (event, attr, text, score), one row for each attribute and text; more than the n best texts of one of n
+    attributes can't be needed. Attribute by attribute, every choice so far goes on with each of its texts that is not yet
+    taken, or with none: (n + 1)^n choices at most, whatever an event's number of texts. Ties: the better and then the
+    smaller text of the first attribute. Unserved attributes are absent. ``keep``: a column that goes with a text.
+    -> event, attr, text, score.
     """
     n = len(attrs)
     at = F.coalesce(*(F.when(F.col("attr") == a, F.lit(i)) for i, a in enumerate(attrs)))
     texts = scores.where(F.col("attr").isin(*attrs) & (F.col("score") > 0)).withColumn("i", at)
-    # beyond the n best of an attribute, a text can't be needed for it
     texts = texts.withColumn("r", F.row_number().over(W.partitionBy("event", "attr").orderBy(F.col("score").desc(), "text"))).where(F.col("r") <= n)
-    row = texts.groupBy("event", "text").agg(F.array(*(F.max(F.when(F.col("i") == i, F.col("score"))) for i in range(n))).alias("m"))
-    row = row.groupBy("event").agg(F.array_sort(F.collect_list(F.struct("text", "m"))).alias("ts"))
-    pick = "array<struct<i:int,text:string,score:double>>"
-    empty = F.array(*(F.when(F.lit(k == 0), F.struct(F.lit(0.0).alias("total"), F.array().cast(pick).alias("pick"))) for k in range(1 << n)))
-
-    def step(acc, t):
-        out = []
-        for k in range(1 << n):
-            best = acc[k]
-            for i in range(n):
-                if k >> i & 1:
-                    s = t["m"][i]
-                    was = acc[k & ~(1 << i)]
-                    new = F.when(s.isNotNull() & was.isNotNull(), F.struct((was["total"] + s).alias("total"), F.concat(was["pick"], F.array(F.struct(F.lit(i).alias("i"), t["text"].cast("string").alias("text"), s.alias("score")))).alias("pick")))
-                    best = F.when(best.isNull() | (new["total"] > best["total"]), F.coalesce(new, best)).otherwise(best)
-            out.append(best)
-        return F.array(*out)
-
-    best = row.select("event", F.aggregate("ts", empty, step).alias("states"))
-    top = F.aggregate("states", F.col("states")[0], lambda a, s: F.when(s["total"] > a["total"], s).otherwise(a))
+    row = texts.groupBy("event").agg(F.array_sort(F.collect_list(F.struct("i", "r", F.col("text").cast("string").alias("text"), "score", *([keep] if keep else [])))).alias("ts"))
+    kind = row.schema["ts"].dataType.simpleString()
+    none = F.array(F.struct(F.lit(0.0).alias("total"), F.array().cast(kind).alias("pick")))
+
+    def with_attribute(states, i):
+        own = F.filter("ts", lambda t: t["i"] == i)
+        grown = lambda s: F.transform(F.filter(own, lambda t: ~F.exists(s["pick"], lambda p: p["text"] == t["text"])), lambda t: F.struct((s["total"] + t["score"]).alias("total"), F.concat(s["pick"], F.array(t)).alias("pick")))
+        return F.flatten(F.transform(states, lambda s: F.concat(grown(s), F.array(s))))
+
+    states = F.aggregate(F.array(*map(F.lit, range(n))), none, with_attribute) if n else none
+    top = F.aggregate(states, none[0], lambda a, s: F.when(s["total"] > a["total"], s).otherwise(a))
     names = F.array(*map(F.lit, attrs))
-    return best.select("event", F.explode(top["pick"]).alias("p")).select("event", F.element_at(names, F.col("p.i") + 1).alias("attr"), F.col("p.text").alias("text"), F.col("p.score").alias("score"))
+    best = row.select("event", F.explode(top["pick"]).alias("p"))
+    return best.select("event", F.element_at(names, F.col("p.i") + 1).alias("attr"), F.col("p.text").alias("text"), F.col("p.score").alias("score"), *([F.col(f"p.{keep}").alias(keep)] if keep else []))
+
+
+def without_doc(stories: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:
+    """Stories that no annotated document has; empty where the two tables fit together."""
+    return stories.join(docs.select(key), key, "left_anti")
+
+
+def join_docs(stories: DataFrame, docs: DataFrame, key: str = "id") -> DataFrame:
+    """Stories with their annotation (ents: text, label) by key, and its people, organisations and places, distinct and sorted."""
+    x = stories.join(docs, key)
+    return x.withColumns({"story_people": roll_up(F.col("ents"), "PERSON"), "story_organizations": roll_up(F.col("ents"), "ORG"), "story_places": roll_up(F.col("ents"), "GPE", "LOC", "FAC")})
+
+
+def drop_bookkeeping(spans, *fields: str):
+    """P10: an array of spans without working fields; fields that it lacks don't matter."""
+    return F.transform(spans, lambda s: s.dropFields(*fields))

@@ -8,15 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_query, cosine
 
-#: Rows of a dimension that may go to every executor; beyond it the join is left to the optimizer.
-SMALL = 5_000
-
-
-def dimension(df: DataFrame, most: int = SMALL) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def grep_country(texts: DataFrame, patterns: list[tuple[str, str]], column: str = "text") -> DataFrame:
     """Append country and remainder: of the patterns (regex, code) that match, the one that leaves least text; ties: first.
 
@@ -31,12 +22,23 @@ def grep_country(texts: DataFrame, patterns: list[tuple[str, str]], column: str
     return texts.withColumn("_b", best).select(*texts.columns, F.col("_b.country").alias("country"), F.coalesce(F.col("_b.remainder"), F.col(column)).alias("remainder"))
 
 
+#: Agents that may travel beside each row, at some hundred bytes each.
+MOST_AGENTS = 10_000
+
+
+def _held(agents: DataFrame) -> DataFrame:
+    """All agents in one row. The query itself fails where there are more than MOST_AGENTS: no job runs to find out beforehand."""
+    all_of = agents.agg(F.array_sort(F.collect_list(F.struct("agent", "agent_vector"))).alias("a"))
+    fits = F.size("a") <= MOST_AGENTS
+    return all_of.select(F.when(fits, F.col("a")).otherwise(F.raise_error(F.lit("too many agents to travel with a query"))).alias("_agents"))
+
+
 def nearest(rows: DataFrame, agents: DataFrame, least: float, vector: str = "embedding") -> DataFrame:
     """Append the agent (agent, code, agent_vector) of largest cosine, if ``least`` or more; ties: smallest agent.
 
-    Agents are a bounded dimension: they travel as one array beside each row, so nothing is shuffled.
+    Agents are a bounded dimension (at most MOST_AGENTS, else an error): they travel as one array beside each row, so nothing is shuffled.
     """
-    held = agents.agg(F.array_sort(F.collect_list(F.struct("agent", "agent_vector"))).alias("_agents"))
+    held = _held(agents)
     scored = F.transform("_agents", lambda a: F.struct(F.round(cosine(F.col(vector), a["agent_vector"]), 6).alias("sim"), (-a["agent"]).alias("neg")))
     out = rows.crossJoin(F.broadcast(held)).withColumn("_best", F.array_max(scored))
     keep = F.col("_best.sim") >= least
@@ -45,7 +47,7 @@ def nearest(rows: DataFrame, agents: DataFrame, least: float, vector: str = "emb
 
 def labels_above(rows: DataFrame, agents: DataFrame, least: float, vector: str = "embedding") -> DataFrame:
     """Append labels: every agent whose cosine is above ``least``, in order."""
-    held = agents.agg(F.array_sort(F.collect_list(F.struct("agent", "agent_vector"))).alias("_agents"))
+    held = _held(agents)
     above = F.filter("_agents", lambda a: F.round(cosine(F.col(vector), a["agent_vector"]), 6) > least)
     return rows.crossJoin(F.broadcast(held)).select(*rows.columns, F.transform(above, lambda a: a["agent"]).alias("labels"))
 
@@ -61,22 +63,8 @@ def active_terms(terms: DataFrame, dates: DataFrame, key: str) -> DataFrame:
     return dates.join(terms, key).where((F.col("start") < F.col("at")) & (F.col("end").isNull() | (F.col("end") > F.col("at"))))
 
 
-def search_all_terms(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(query_id, terms array), (doc_id, text) -> the k documents with the highest term count that hold all terms.
-
-    An equi-join on terms: documents are tokenised once and semi-joined with the terms that are asked for.
-    """
-    q = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"), F.size(F.array_distinct("terms")).alias("n_terms"))
-    asked = dimension(q.select("term").distinct())
-    words = docs.select("doc_id", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("term")).join(asked, "term", "left_semi")
-    tf = words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    hits = tf.join(dimension(q), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("found"), F.sum("tf").alias("score"), F.max("n_terms").alias("n_terms")).where("found = n_terms")
-    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
-
-
 def search_whole_items(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The result of :func:`search_all_terms` for queries of many terms.
+    """(query_id, terms array), (doc_id, text) -> the k documents with the highest term count that hold all terms.
 
     Documents that hold a query's rarest term are its candidates; only those are counted term by term.
     """
@@ -94,5 +82,10 @@ def search_whole_items(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame
 
 
 def first_sentence_with(docs: DataFrame, needle: Column) -> DataFrame:
-    """Append sentence: the first that contains the needle, else the empty string."""
-    return docs.withColumn("sentence", F.coalesce(F.get(F.filter(F.split("text", r"\. |\n"), lambda s: F.contains(s, needle)), F.lit(0)), F.lit("")))
+    """Append sentence: the first that contains the needle, else the empty string.
+
+    Sentences and needle are bound once as an array element: a filter would compute the needle again for every sentence.
+    """
+    bound = F.array(F.struct(F.split("text", r"\. |\n").alias("sentences"), needle.alias("needle")))
+    first = F.transform(bound, lambda x: F.get(F.filter(x["sentences"], lambda s: F.contains(s, x["needle"])), F.lit(0)))
+    return docs.withColumn("sentence", F.coalesce(F.get(first, F.lit(0)), F.lit("")))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.pages import strip_accents, title_case
-from ..functions.text import code_priority, span_jaccard
+from ..functions.text import code_priority, let, span_jaccard
 
 BY_KEY = "key"
 
@@ -64,7 +64,7 @@ def pooled_country(codes: DataFrame) -> DataFrame:
 
 
 def choose_code(codes: DataFrame) -> DataFrame:
-    """Candidate codes of a key -> key, code_1, country, source, tier; exactly one row a key.
+    """Candidate codes of a key -> key, code_1, country, source, tier, ord (of the candidate taken); exactly one row a key.
 
     ``codes``: key, ord (no two alike in a key), source, query, code_1, country, conf, office_num, wiki, given (the key's known
     country). Missing texts count as empty. In order: the only code; a settlement has no sector code;
@@ -74,7 +74,7 @@ def choose_code(codes: DataFrame) -> DataFrame:
     """
     text = [F.coalesce(c, F.lit("")).alias(c) for c in ("source", "query", "code_1", "country", "wiki", "given")]
     c = codes.select(BY_KEY, "ord", "conf", "office_num", *text)
-    row = "named_struct('code_1', code_1, 'country', country, 'source', source, 'query', query)"
+    row = "named_struct('code_1', code_1, 'country', country, 'source', source, 'query', query, 'ord', ord)"
     first = lambda where, by="ord": F.expr(f"min_by({row}, {by}) FILTER (WHERE {where})")
     lookup = "source = 'BERT matching on non-entity text' and country <> '' and code_1 <> ''"
     a = c.groupBy(BY_KEY).agg(
@@ -96,7 +96,7 @@ def choose_code(codes: DataFrame) -> DataFrame:
     best = F.col("best_country")
     own = lambda r, other: F.when(F.col(f"{r}.country") != "", F.col(f"{r}.country")).otherwise(other)
     world = lambda r: F.when(F.col(f"{r}.code_1") == "IGO", F.lit("IGO")).otherwise(best)
-    out = lambda r, country, tier, code=None: F.struct((F.col(f"{r}.code_1") if code is None else code).alias("code_1"), country.alias("country"), F.col(f"{r}.source").alias("source"), F.lit(tier).alias("tier"))
+    out = lambda r, country, tier, code=None: F.struct((F.col(f"{r}.code_1") if code is None else code).alias("code_1"), country.alias("country"), F.col(f"{r}.source").alias("source"), F.lit(tier).alias("tier"), F.col(f"{r}.ord").alias("ord"))
     ladder = (
         F.when(F.col("n") == 1, out("only", own("only", F.col("given")), "only code"))
         .when(F.col("box.query") == "settlement", out("box", own("box", best), "settlement", F.lit("")))
@@ -115,15 +115,19 @@ def event_location(start: Column, end: Column, entities: Column, overlap: float
     Reasons: ``no location``, ``no entities``, ``overlap too small``, ``unscored`` (returned all the same), ``matched``,
     ``score too low``; geo is null where nothing is returned. Equal overlaps: the first entity.
     """
-    with_overlap = F.transform(entities, lambda e, i: F.struct(F.coalesce(span_jaccard(start, end, e["start_char"], e["end_char"]), F.lit(0.0)).alias("overlap"), (-i).alias("neg"), e["score"].alias("score")))
-    best = F.array_max(F.transform(with_overlap, lambda e: F.struct(e["overlap"].alias("overlap"), e["neg"].alias("neg"))))
-    geo = F.get(entities, -best["neg"])
-    reason = (
-        F.when(start.isNull() | end.isNull(), "no location")
-        .when(entities.isNull() | (F.size(entities) == 0), "no entities")
-        .when(best["overlap"] < overlap, "overlap too small")
-        .when(geo["score"].isNull(), "unscored")
-        .when(geo["score"] > score, "matched")
-        .otherwise("score too low")
-    )
-    return F.struct(reason.alias("reason"), F.when(reason.isin("unscored", "matched"), geo).alias("geo"))
+    with_overlap = F.transform(entities, lambda e, i: F.struct(F.coalesce(span_jaccard(start, end, e["start_char"], e["end_char"]), F.lit(0.0)).alias("overlap"), (-i).alias("neg"), e.alias("geo")))
+    best = F.aggregate(with_overlap, F.get(with_overlap, F.lit(0)), lambda a, e: F.when(e["overlap"] > a["overlap"], e).otherwise(a))
+
+    def judged(b: Column) -> Column:
+        geo = b["geo"]
+        reason = (
+            F.when(start.isNull() | end.isNull(), "no location")
+            .when(entities.isNull() | (F.size(entities) == 0), "no entities")
+            .when(b["overlap"] < overlap, "overlap too small")
+            .when(geo["score"].isNull(), "unscored")
+            .when(geo["score"] > score, "matched")
+            .otherwise("score too low")
+        )
+        return let(reason, lambda r: F.struct(r.alias("reason"), F.when(r.isin("unscored", "matched"), geo).alias("geo")))
+
+    return let(best, judged)

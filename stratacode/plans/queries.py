@@ -10,6 +10,8 @@ from ..functions import pages as P
 from ..functions import text as T
 from ..operators import events as E
 from ..operators import match as M
+from ..operators.pairs import positive_pairs
+from . import coding_queries as coding
 from . import resolver_queries as resolver
 
 PATTERNS = [("NATION_10", "TEN"), ("NATION_20", "TWENTY"), ("NATION_1", "ONE"), ("NATION_2", "TWO")]
@@ -106,8 +108,8 @@ def span_overlap(spark, d):
     return x.groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("j", -F.col("l_linenumber"))).alias("line"), F.max("j").alias("overlap"))
 
 
-def _answers(spark, d):
-    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("event"), (F.col("l_linenumber") % 3).cast("int").alias("attr"), (F.col("l_suppkey") % 7).alias("text"), F.col("l_discount").alias("score"))
+def _answers(spark, d, attrs=3):
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("event"), (F.col("l_linenumber") % attrs).cast("int").alias("attr"), (F.col("l_suppkey") % 7).alias("text"), F.col("l_discount").alias("score"))
 
 
 def answer_sum(spark, d):
@@ -119,13 +121,8 @@ def pivot_scores(spark, d):
 
 
 def assign_best(spark, d):
-    a = E.assign_best(E.sum_answers(_answers(spark, d)), [0, 1, 2])
-    return a.groupBy("event").agg(F.round(F.sum("score"), 4).alias("total"), F.max("attr").isNotNull().alias("assigned"))
-
-
-def keep_last_question(spark, d):
-    c = read(spark, d, "conversations").withColumn("question", F.substring("text", 1, 3))
-    return E.keep_last(c, ["conv_id", "question"], ["turn"]).select("conv_id", "question", "turn")
+    answers = _answers(spark, d, 4)
+    return E.assign_best(E.sum_answers(answers), [0, 1, 2, 3])
 
 
 def keep_last_whole_question(spark, d):
@@ -157,11 +154,6 @@ def active_office(spark, d):
     return M.active_terms(o, at, "key").select("key", "o_orderkey")
 
 
-def fulltext_topk(spark, d):
-    q = read(spark, d, "benchmark").where("item_id is not null").select(F.col("item_id").alias("query_id"), F.slice(F.array_distinct(F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.length(w) > 1)), 1, 2).alias("terms"))
-    return M.search_all_terms(q, read(spark, d, "documents").select("doc_id", "text"), 10)
-
-
 def fulltext_all_terms(spark, d):
     """Documents that hold every distinct term of the whole item text, the best 200."""
     terms = F.array_distinct(F.filter(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
@@ -203,11 +195,11 @@ def wide_table(spark, d):
 
 
 def pair_combinations(spark, d):
-    a = read(spark, d, "nation").select("n_regionkey", F.col("n_name").alias("a"))
-    return a.join(a.select("n_regionkey", F.col("a").alias("b")), "n_regionkey").where("a < b").select("a", "b")
+    groups = read(spark, d, "nation").groupBy(F.col("n_regionkey").alias("key")).agg(F.collect_set("n_name").alias("names"))
+    return positive_pairs(groups).select("a", "b")
 
 
-QUERIES = {f.__name__: f for f in (flagship, explode_events, question_fill, type_without_question, country_grep, clean_query, nearest_agent, threshold_labels, span_overlap, answer_sum, pivot_scores, assign_best, keep_last_question, keep_last_whole_question, most_common_first_seen, code_priority, clean_best, active_office, fulltext_topk, fulltext_all_terms, canonical_page, page_filters, page_predicates, sentence_context, relative_date, wide_table, pair_combinations)}
+QUERIES = {f.__name__: f for f in (flagship, explode_events, question_fill, type_without_question, country_grep, clean_query, nearest_agent, threshold_labels, span_overlap, answer_sum, pivot_scores, assign_best, keep_last_whole_question, most_common_first_seen, code_priority, clean_best, active_office, fulltext_all_terms, canonical_page, page_filters, page_predicates, sentence_context, relative_date, wide_table, pair_combinations)}
 
 _CODE = "CASE WHEN n_name LIKE 'NATION_10%' THEN 'TEN' WHEN n_name LIKE 'NATION_20%' THEN 'TWENTY' WHEN n_name LIKE 'NATION_1%' THEN 'ONE' WHEN n_name LIKE 'NATION_2%' THEN 'TWO' END"
 _REST = "CASE WHEN n_name LIKE 'NATION_10%' THEN substr(n_name, 10) WHEN n_name LIKE 'NATION_20%' THEN substr(n_name, 10) WHEN n_name LIKE 'NATION_1%' THEN substr(n_name, 9) WHEN n_name LIKE 'NATION_2%' THEN substr(n_name, 9) END"
@@ -242,11 +234,15 @@ SELECT l_orderkey, arg_max(l_linenumber, (j, -l_linenumber)) AS line, max(j) AS
     "answer_sum": _SUMS,
     "pivot_scores": f"""SELECT event, text, round(coalesce(sum(score) FILTER (attr = 0), 0), 6) AS attr_0, round(coalesce(sum(score) FILTER (attr = 1), 0), 6) AS attr_1, round(coalesce(sum(score) FILTER (attr = 2), 0), 6) AS attr_2
 FROM ({_SUMS}) GROUP BY event, text""",
-    "assign_best": f"""WITH s AS (SELECT * FROM ({_SUMS}) WHERE score > 0), e AS (SELECT DISTINCT event FROM s),
-o AS (SELECT event, attr, text, score FROM s UNION ALL SELECT event, a, NULL, 0 FROM e CROSS JOIN (VALUES (0), (1), (2)) v(a))
-SELECT x.event, round(max(x.score + y.score + z.score), 4) AS total, true AS assigned FROM o x JOIN o y ON x.event = y.event JOIN o z ON x.event = z.event
-WHERE x.attr = 0 AND y.attr = 1 AND z.attr = 2 AND (x.text IS NULL OR y.text IS NULL OR x.text <> y.text) AND (x.text IS NULL OR z.text IS NULL OR x.text <> z.text) AND (y.text IS NULL OR z.text IS NULL OR y.text <> z.text) GROUP BY x.event""",
-    "keep_last_question": "SELECT conv_id, left(text, 3) AS question, max(turn) AS turn FROM conversations GROUP BY ALL",
+    "assign_best": f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY event, attr ORDER BY score DESC, text) AS r FROM ({_SUMS.replace("% 3", "% 4")}) WHERE score > 0), e AS (SELECT DISTINCT event FROM s),
+o AS (SELECT event, attr, text, score, r FROM s UNION ALL SELECT event, a, NULL, 0, 100 FROM e CROSS JOIN (VALUES (0), (1), (2), (3)) v(a)),
+c AS (SELECT w.event, w.score + x.score + y.score + z.score AS total, w.r AS r0, x.r AS r1, y.r AS r2, z.r AS r3, [w.text, x.text, y.text, z.text] AS ts, [w.score, x.score, y.score, z.score] AS ss
+  FROM o w JOIN o x ON w.event = x.event JOIN o y ON w.event = y.event JOIN o z ON w.event = z.event WHERE w.attr = 0 AND x.attr = 1 AND y.attr = 2 AND z.attr = 3
+  AND w.text IS DISTINCT FROM coalesce(x.text, -1) AND w.text IS DISTINCT FROM coalesce(y.text, -1) AND w.text IS DISTINCT FROM coalesce(z.text, -1)
+  AND x.text IS DISTINCT FROM coalesce(y.text, -1) AND x.text IS DISTINCT FROM coalesce(z.text, -1) AND y.text IS DISTINCT FROM coalesce(z.text, -1)),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY event ORDER BY total DESC, r0, r1, r2, r3) = 1),
+u AS (SELECT event, unnest([0, 1, 2, 3]) AS attr, unnest(ts) AS text, unnest(ss) AS score FROM b)
+SELECT event, attr, CAST(text AS VARCHAR) AS text, CAST(score AS DOUBLE) AS score FROM u WHERE text IS NOT NULL""",
     "keep_last_whole_question": "SELECT conv_id, text AS question, max(turn) AS turn FROM conversations GROUP BY ALL",
     "most_common_first_seen": "WITH c AS (SELECT o_custkey, o_orderpriority, count(*) AS n, min(o_orderkey) AS f FROM orders GROUP BY ALL) SELECT o_custkey, arg_max(o_orderpriority, (n, -f)) AS o_orderpriority, max(n) AS n FROM c GROUP BY o_custkey",
     "code_priority": """WITH p AS (SELECT p_brand, p_partkey, ['GOV', 'MIL', 'CVL', 'ZZZ', 'JRN'][p_size % 5 + 1] AS code, [100, 80, 10, 0, 40][p_size % 5 + 1] AS r FROM part)
@@ -256,12 +252,6 @@ b AS (SELECT c_custkey, CASE WHEN k = 'JNK' THEN '' WHEN k IN ('IGO', 'NGO', 'MN
 SELECT c_custkey, CASE WHEN length(y) = 6 THEN left(y, 3) ELSE y END AS country, CASE WHEN length(y) = 6 THEN substr(y, 4, 3) ELSE k END AS code_1 FROM b""",
     "active_office": """WITH o AS (SELECT o_custkey AS key, o_orderkey, o_orderdate AS s, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS e FROM orders)
 SELECT key, o_orderkey FROM o JOIN customer ON c_custkey = key WHERE s < TIMESTAMP '1995-06-17' AND (e IS NULL OR e > TIMESTAMP '1995-06-17')""",
-    "fulltext_topk": r"""WITH q AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: length(w) > 1) AS w FROM benchmark),
-u AS (SELECT query_id, unnest(w) AS term, generate_subscripts(w, 1) AS p FROM q), f AS (SELECT query_id, term, min(p) AS p FROM u GROUP BY ALL),
-t AS (SELECT query_id, term FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY p) <= 2), n AS (SELECT query_id, count(*) AS n FROM t GROUP BY ALL),
-d AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM t) GROUP BY ALL),
-h AS (SELECT query_id, doc_id, count(*) AS c, CAST(sum(tf) AS BIGINT) AS score FROM tf JOIN t USING (term) GROUP BY ALL)
-SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h JOIN n USING (query_id) WHERE c = n QUALIFY rank <= 10""",
     "fulltext_all_terms": r"""WITH q AS (SELECT item_id AS query_id, regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
 t AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(w) AS term FROM q) WHERE term <> ''), n AS (SELECT query_id, count(*) AS n FROM t GROUP BY ALL),
 d AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM t) GROUP BY ALL),
@@ -287,5 +277,5 @@ SELECT r_name, 'actors' AS attribute, actors AS value FROM g UNION ALL SELECT r_
     "pair_combinations": "SELECT x.n_name AS a, y.n_name AS b FROM nation x JOIN nation y ON x.n_regionkey = y.n_regionkey AND x.n_name < y.n_name",
 }
 
-QUERIES |= resolver.QUERIES
-SQL |= resolver.SQL
+QUERIES |= resolver.QUERIES | coding.QUERIES
+SQL |= resolver.SQL | coding.SQL

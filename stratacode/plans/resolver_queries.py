@@ -29,12 +29,11 @@ def _read(spark, d, name, columns):
 
 
 def _columns(spark, d, name, text):
-    spark.read.parquet(f"{d}/{name}.parquet").createOrReplaceTempView(view := f"resolver_{name}")
-    return spark.sql(f"SELECT {text} FROM {view}")
+    return spark.sql(f"SELECT {text} FROM {{rows}}", rows=spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def choose_code(spark, d):
-    return R.choose_code(_columns(spark, d, "lineitem", _CODES))
+    return R.choose_code(_columns(spark, d, "lineitem", _CODES)).drop("ord")
 
 
 def choose_page(spark, d):
