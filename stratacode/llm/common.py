@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +38,28 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str, **options: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
+@contextmanager
+def no_shuffle_left(spark: SparkSession) -> Iterator[None]:
+    """Queries written within lose their shuffle files when they end, rather than when the driver next collects garbage.
 
-    The switch lets Spark delete the query's shuffle files when it ends, rather than when the driver
-    next collects garbage: a chain of steps then holds the disk of one step's shuffle, not of all.
+    A chain of steps then holds the disk of one step's shuffle, not of all. For queries whose frame is not run again.
     """
-    spark, path = df.sparkSession, new_path(df.sparkSession, what)
     was = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # nothing reads this query's shuffle files once it is written
+    spark.conf.set(CLEANUP, "true")
     try:
-        df.write.options(**options).parquet(path)
+        yield
     finally:
         if was is None:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, was)
+
+
+def written(df: DataFrame, what: str, **options: str) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet into the shared folder and read it back."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, what)
+    with no_shuffle_left(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,7 +2,7 @@
 
 Texts with one shingle set are one *class*, named by a number (rep below) in order of its smallest
 doc_id and its fingerprint. Every class gets 64 minwise tokens. A tree's node picks two token positions; a class goes to the child
-named by its token at each of them, so that two classes of similarity J stay together below
+named by its token at each of them (no position twice on one path), so that two classes of similarity J stay together below
 some child with chance 1 - (1 - J)^2 or more at every level (0.96 at 0.8), and in one of
 ``trees`` independent trees almost surely (four trees: all but 3 in a million). Small nodes are
 compared exhaustively, each by one group function that returns members and then a forest of
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, blobs, drop, mix64, new_path, shingles, table, word_hashes, written
+from .common import WordHash, blobs, drop, join_hot, mix64, new_path, no_shuffle_left, shingles, table, word_hashes, written
 from .components import components
 
 TOKENS = 64
@@ -71,7 +71,10 @@ def _hash_lists(words: int):
 
 
 def _children(first: bool, trees: int):
-    """Rows (node, rep, sig, n) -> two children a row; at the root, two for each tree."""
+    """Rows (node, rep, sig, n, used) -> two children a row; at the root, two for each tree.
+
+    ``used`` has a bit for each token position that the path to the node has branched on; none is picked again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -81,23 +84,39 @@ def _children(first: bool, trees: int):
             rep = b.column("rep").to_numpy(zero_copy_only=False)
             n = b.column("n").to_numpy(zero_copy_only=False)
             rows = np.arange(len(rep))
-            nodes, picks = [], []
+            nodes, picks, used = [], [], np.zeros(len(rep), np.uint64)
             if first:  # distinct positions for all trees' roots
                 for k in range(2 * trees):
                     nodes.append(np.full(len(rep), k + 1, np.uint64))
                     picks.append(np.full(len(rep), k % TOKENS))
             else:
                 node = b.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
-                one = (mix64(node ^ np.uint64(0xA5A5)) % np.uint64(TOKENS)).astype(np.int64)
-                step = (mix64(node ^ np.uint64(0x5A5A)) % np.uint64(TOKENS - 1)).astype(np.int64) + 1
-                nodes, picks = [node, node], [one, (one + step) % TOKENS]
+                used = b.column("used").to_numpy(zero_copy_only=False).view(np.uint64)
+                nodes, picks = [node, node], _unused(node, used)
             kids = [mix64(mix64(v + np.uint64(0x632BE5AB)) ^ mix64((p.astype(np.uint64) << np.uint64(32)) | sig[rows, p])) for v, p in zip(nodes, picks, strict=True)]
             k = len(kids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kids).view(np.int64)), pa.array(np.tile(rep, k)), pa.array(np.tile(n, k))], ["node", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kids).view(np.int64)), pa.array(np.tile(rep, k)), pa.array(np.tile(n, k)), pa.array(np.concatenate([used | np.uint64(1) << p.astype(np.uint64) for p in picks]).view(np.int64))], ["node", "rep", "n", "used"])
 
     return run
 
 
+def _unused(node: np.ndarray, used: np.ndarray) -> list[np.ndarray]:
+    """Two positions for each node, in an order of its own, that its path has not branched on (while two are left)."""
+    at = (mix64(node ^ np.uint64(0xA5A5)) % np.uint64(TOKENS)).astype(np.int64)
+    step = (mix64(node ^ np.uint64(0x5A5A)) % np.uint64(TOKENS // 2)).astype(np.int64) * 2 + 1
+    picks = [at, (at + step) % TOKENS]
+    found = np.zeros(len(node), np.int64)
+    for _ in range(TOKENS):
+        free = (used >> at.astype(np.uint64) & np.uint64(1)) == 0
+        for k in (0, 1):
+            picks[k] = np.where(free & (found == k), at, picks[k])
+        found += free
+        if (found > 1).all():
+            break
+        at = (at + step) % TOKENS
+    return picks
+
+
 def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose tokens agree often enough to be worth a look at the full sets."""
 
@@ -174,14 +193,14 @@ def _forest(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, leaf: int = 2048, leaf_shingles: int = 4_000_000, most_levels: int = 12, with_hash: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: int = 4, leaf: int = 4096, leaf_shingles: int = 4_000_000, most_levels: int = 12, with_hash: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, class_id, and h64 if asked for; a row for each row.
 
     words, percent: shingle length and the similarity (in percent) from which two sets are linked.
     trees: independent trees (recall). leaf, leaf_shingles: nodes with so many members and so many
     shingles in all at most are compared exhaustively, each in one task; so are, pair by pair, larger
     ones with at most 8 pairs a member across components; others branch. most_levels: nodes still
-    mixed so deep are compared exhaustively, pair by pair.
+    mixed so deep are cut into blocks, and every two blocks compared exhaustively, in a task each.
 
     Null, empty or blank text: 0 shingles, linked with nothing. Repeated rows: linked as copies.
     Every text of a doc_id that comes with several is compared with all others; the texts of one doc_id
@@ -206,12 +225,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     of = sigs.select("rep", "fp", F.col("doc_id").alias("id"), F.col("h64").alias("h"))
     texts = docs.join(of, (F.col("h64") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("rep", "text", "fp").repartition(buckets, "rep")
     kept_at = new_path(spark, "texts")
-    texts.write.bucketBy(buckets, "rep").option("path", kept_at).option("compression", "zstd").format("parquet").saveAsTable(by_rep)
+    with no_shuffle_left(spark):
+        texts.write.bucketBy(buckets, "rep").option("path", kept_at).option("compression", "zstd").format("parquet").saveAsTable(by_rep)
 
     def sized(n: DataFrame) -> DataFrame:
         """Nodes with two members or more, with their smallest member and its set size."""
+        n = written(n, "children")
         by = n.groupBy("node").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n")).alias("low")).where("m > 1")
-        return written(n.join(by.select("node", "m", F.col("low.rep").alias("pivot"), F.col("low.n").alias("pivot_n")), "node"), "nodes")
+        by = written(by.select("node", "m", F.col("low.rep").alias("pivot"), F.col("low.n").alias("pivot_n")), "by")
+        out = written(join_hot(n, by, "node", "m", "rep"), "nodes")
+        for x in (n, by):
+            drop(x)
+        return out
+
+    def blocked(members: DataFrame) -> DataFrame:
+        """Members of large nodes, once for each pair of blocks of their node that their own is in, as small nodes."""
+        blocks = F.ceil(F.greatest(F.col("members") / F.lit(leaf / 2), F.col("shingles") / F.lit(leaf_shingles / 2))).cast("long")
+        own = members.withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(rep), blocks)"))
+        pairs = own.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        return pairs.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other")
 
     def similar_size(x: str, y: str) -> str:
         return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
@@ -247,7 +279,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
     def labelled(n: DataFrame, labels: DataFrame) -> DataFrame:
         return n.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
-    nodes = sized(sigs.select(F.lit(0).cast("long").alias("node"), "rep", "n", "sig").mapInArrow(_children(True, trees), "node long, rep long, n long"))
+    nodes = sized(sigs.select(F.lit(0).cast("long").alias("node"), "rep", "n", "sig").mapInArrow(_children(True, trees), "node long, rep long, n long, used long"))
     links, labels, level = None, None, 1
     while True:
         # a star: each class with the smallest of the nodes it is in that looks most like it
@@ -268,12 +300,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
         by = seen.groupBy("node", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
         by = by.groupBy("node").agg(F.sum("s").alias("shingles"), F.sum("c").alias("members"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max_by("label", F.struct("c", "label")).alias("main"))
         easy = F.expr(f"members <= {leaf} and shingles <= {leaf_shingles}")
-        mixed = by.where("squares < members * members").select("node", "main", easy.alias("easy"), (~easy & F.expr("(members * members - squares) / 2 <= 8 * members")).alias("few"))
-        open_ = written(seen.join(mixed, "node"), "open")
-        found = exhausted(open_.where("easy"))
+        mixed = by.where("squares < members * members").select("node", "main", "members", "shingles", easy.alias("easy"), (~easy & F.expr("(members * members - squares) / 2 <= 8 * members")).alias("few"))
+        mixed = written(mixed, "mixed")
+        open_ = written(join_hot(seen, mixed, "node", "members", "rep"), "open")
+        last = level >= most_levels
+        alone = open_.where("easy")
+        found = exhausted(alone.unionByName(blocked(open_.where("not easy and not few"))) if last else alone)
         links = links.unionByName(found)
         # few pairs across components: compare them all, each member outside the largest component with all others
-        small = open_.where("few" if level < most_levels else "not easy")
+        small = open_.where("few")
         minor = small.where("label <> main").select("node", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
         every = small.select("node", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), "main")
         pairs = minor.join(every, "node").where(f"lx <> ly and (ly = main or x < y) and {similar_size('nx', 'ny')}").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -283,11 +318,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, trees: i
         if not is_none(found):
             labels = components(links)
         large = open_.where("not easy and not few")
-        for x in (stars, nodes, seen):
+        for x in (stars, nodes, seen, mixed):
             drop(x)
-        if level >= most_levels or is_none(large):
+        if last or is_none(large):
             break
-        nodes = sized(large.select("node", "rep", "n").join(sigs.select("rep", "sig"), "rep").mapInArrow(_children(False, trees), "node long, rep long, n long").distinct())
+        nodes = sized(large.select("node", "rep", "n", "used").join(sigs.select("rep", "sig"), "rep").mapInArrow(_children(False, trees), "node long, rep long, n long, used long").distinct())
         level += 1
     drop(spark.table(by_rep))
     spark.sql(f"DROP TABLE {by_rep}")
