@@ -5,6 +5,9 @@ measures are its compressed sizes with either and with none: the difference of t
 normalised by the plain compressed size, and the three compression ratios. A logistic
 calibration (quadratic in the measures, ridge-regularised Newton steps), fitted on labelled
 rows that the dictionaries haven't seen, turns them into a score between 0 and 1.
+
+The difference alone (``difference_only``) is right on 0.965 of the held-out rows of sf0.1 (0.76 of
+the bad ones) and on 0.977 of check_s (0.87); with the ratios on 0.993 (0.96) and 0.995 (0.98).
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ class Compression:
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     weights: np.ndarray | None = None
+    difference_only: bool = False
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "_c"}
@@ -49,6 +53,8 @@ class Compression:
 
     def measures(self, texts: list[bytes]) -> np.ndarray:
         z = self.sizes(texts)
+        if self.difference_only:
+            return (z[:, [1]] - z[:, [0]]) / z[:, [2]]
         n = np.array([len(t) for t in texts], float) + 8
         a = np.column_stack([(z[:, 1] - z[:, 0]) / z[:, 2], *np.log(z / n[:, None]).T, np.log(n)])
         k = a.shape[1]
@@ -88,9 +94,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per: int) -> dict[int, l
     """Whole texts of at most ``per`` labelled rows of each class, first by a hash of doc_id, half of SAMPLE_BYTES a class.
 
     A row that doesn't fit in what is left of its class is left out alone and not counted; so are rows with a
-    null label, doc_id or text.
+    null label, doc_id or text, and those of a doc_id with labels of both classes.
     """
-    y = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
+    y = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("other")).where("quality = other").drop("other")
     order = F.xxhash64(F.lit(5), "doc_id")
     keys = y.where("quality = 1").orderBy(order, "doc_id").limit(per).unionByName(y.where("quality = 0").orderBy(order, "doc_id").limit(per))
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(keys), "doc_id")  # 2 x per keys at most
@@ -106,11 +112,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per: int) -> dict[int, l
     return {k: [t for _, q, t in found if q == k] for k in (0, 1)}
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Compression:
-    """Fit on :func:`labelled_sample`. With one class only (or none) every text scores 0.5."""
+def train(docs: DataFrame, labels: DataFrame, difference_only: bool = False) -> Compression:
+    """Fit on :func:`labelled_sample`. With one class only (or none) every text scores 0.5, in an empty table too.
+
+    Extra columns are ignored; rows that repeat a doc_id count each. difference_only: calibrate the normalised difference alone.
+    """
     of = labelled_sample(docs, labels, DICTIONARY_ROWS + CALIBRATION_ROWS)
     cut = {k: min(DICTIONARY_ROWS, max(1, len(of[k]) * 3 // 8)) for k in of}
-    model = Compression(_dictionary(of[1][: cut[1]]), _dictionary(of[0][: cut[0]]))
+    model = Compression(_dictionary(of[1][: cut[1]]), _dictionary(of[0][: cut[0]]), difference_only=difference_only)
     rest = [(t, k) for k in of for t in of[k][cut[k] :]]
     if {k for _, k in rest} == {0, 1}:
         model.calibrate([t for t, _ in rest], np.array([k for _, k in rest], float))
@@ -118,7 +127,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Compression:
 
 
 def score(docs: DataFrame, model: Compression) -> DataFrame:
-    """(doc_id, text, ...) -> doc_id, score, predicted. Null text scores as the empty one. The model's size is bounded by its dictionaries."""
+    """(doc_id, text, ...) -> doc_id, score, predicted; a row for each row, repeats and null ids included.
+
+    Whole texts are compressed, of any length; null text scores as the empty one. Extra columns are ignored and an
+    empty table gives an empty result. The model's size is bounded by its dictionaries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

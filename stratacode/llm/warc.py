@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import new_path, table, written
 
 CHUNK, ROLL = 1 << 20, 64 << 20
-CHUNK_SCHEMA = "archive string, record_no long, record_id string, record_type string, uri string, page_id long, refers_to long, declared_digest string, declared_bytes long, chunk_no int, data binary, bytes_so_far long, digest_so_far string, last boolean"
+CHUNK_SCHEMA = "archive string, record_no long, record_id string, record_type string, uri string, page_id long, refers_to long, declared_digest string, declared_bytes long, chunk_no int, data binary, bytes_so_far long, digest_so_far string, last boolean, error string"
 _NAMES = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
 
 
@@ -61,7 +61,8 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
 
     Equal payloads are found by SHA-256 on narrow rows, of which a partial minimum leaves one a
     digest and task. Rows that share the smallest page_id are all responses; a null page_id is
-    never the one referred to.
+    never the one referred to. Null html: an empty payload. Extra columns are ignored; an empty
+    table gives an empty result.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("digest"))
@@ -150,30 +151,43 @@ class _Stream:
 
 
 def chunks(archive: str) -> Iterator[tuple]:
-    """Rows of CHUNK_SCHEMA of one archive."""
+    """Rows of CHUNK_SCHEMA of one archive. One that is cut off or broken ends with a row that has ``error``, without data."""
     store, path = _file_system(archive)
+    at: list = [archive, 0, *[None] * 7]
     with store.open_input_stream(path, compression=None) as raw:
-        s, no = _Stream(raw, archive.endswith(".gz")), 0
-        while (head := s.until(b"\r\n\r\n")) is not None:
-            h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]) if k}
-            left = int(h["content-length"])
-            if "application/http" in h.get("content-type", ""):
-                left -= len(s.until(b"\r\n\r\n") or b"")
-            number = lambda k: int(h[k]) if k in h else None
-            own = (archive, no, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), number("x-page-id"), number("x-refers-to-page"), h.get("warc-payload-digest"), number("x-payload-length"))
-            sha, total, k = hashlib.sha256(), 0, 0
-            while left or not k:
-                piece = b""
-                while left and len(piece) < CHUNK:
-                    got = s.take(min(left, CHUNK - len(piece)))
-                    piece += got
-                    left -= len(got)
-                sha.update(piece)
-                total += len(piece)
-                yield (*own, k, piece, total, sha.copy().hexdigest(), not left)
-                k += 1
-            s.until(b"\r\n\r\n")
-            no += 1
+        try:
+            yield from _chunks(_Stream(raw, archive.endswith(".gz")), archive, at)
+        except (ValueError, KeyError, zlib.error, EOFError) as e:
+            yield (*at, None, None, None, None, True, f"{type(e).__name__}: {e}")
+
+
+def _chunks(s: _Stream, archive: str, at: list) -> Iterator[tuple]:
+    """``at`` has the archive, number and headers of the record being read."""
+    no = 0
+    while (head := s.until(b"\r\n\r\n")) is not None:
+        h = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]) if k}
+        left = int(h["content-length"])
+        if "application/http" in h.get("content-type", ""):
+            left -= len(s.until(b"\r\n\r\n") or b"")
+        if left < 0:
+            raise ValueError("a record is shorter than its own headers")
+        number = lambda k: int(h[k]) if k in h else None
+        own = (archive, no, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), number("x-page-id"), number("x-refers-to-page"), h.get("warc-payload-digest"), number("x-payload-length"))
+        at[:] = own
+        sha, total, k = hashlib.sha256(), 0, 0
+        while left or not k:
+            piece = b""
+            while left and len(piece) < CHUNK:
+                got = s.take(min(left, CHUNK - len(piece)))
+                piece += got
+                left -= len(got)
+            sha.update(piece)
+            total += len(piece)
+            yield (*own, k, piece, total, sha.copy().hexdigest(), not left, None)
+            k += 1
+        s.until(b"\r\n\r\n")
+        no += 1
+        at[1:] = [no, *[None] * 7]
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
@@ -190,7 +204,7 @@ def read_warc(archives: DataFrame) -> DataFrame:
                 rows, size = [], 0
                 for row in chunks(archive.as_py()):
                     rows.append(row)
-                    size += len(row[10])
+                    size += len(row[10] or b"")
                     if size >= 4 * CHUNK or len(rows) >= 2000:
                         yield batch(rows)
                         rows, size = [], 0
@@ -202,11 +216,15 @@ def read_warc(archives: DataFrame) -> DataFrame:
 
 
 def records(chunked: DataFrame) -> DataFrame:
-    """The chunked table -> a row a record: payload_bytes and payload_digest of the full payload (as declared for revisits)."""
+    """The chunked table -> a row a record: payload_bytes and payload_digest of the full payload (as declared for revisits).
+
+    digest_ok: the payload read has the digest that its record declares (null for revisits and where none is declared).
+    A record that its archive breaks off in has ``error`` and neither length nor digest.
+    """
     r = chunked.where("last")
     revisit = F.col("record_type") == "revisit"
     declared = F.regexp_replace(F.lower("declared_digest"), "^sha256:", "")
-    return r.select("page_id", F.when(revisit, F.col("declared_bytes")).otherwise(F.col("bytes_so_far")).alias("payload_bytes"), F.when(revisit, declared).otherwise(F.col("digest_so_far")).alias("payload_digest"), "record_type", F.col("refers_to"), "uri", "record_id")
+    return r.select("page_id", F.when(revisit, F.col("declared_bytes")).otherwise(F.col("bytes_so_far")).alias("payload_bytes"), F.when(revisit, declared).otherwise(F.col("digest_so_far")).alias("payload_digest"), "record_type", F.col("refers_to"), "uri", "record_id", F.when(~revisit, declared == F.col("digest_so_far")).alias("digest_ok"), "error")
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
