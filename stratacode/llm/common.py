@@ -71,19 +71,19 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_hot(rows: DataFrame, by: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+def join_hot(rows: DataFrame, by: DataFrame, key: str, count: str, spread: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``by``, a written frame with a row for each key and its number of rows in ``count``.
 
     Keys with more than a thousandth of all rows, of which there are fewer than a thousand, are dealt
-    over 64 tasks each by a hash of the column ``spread``.
+    over 64 tasks each by a hash of the column ``spread``. how: inner or left.
     """
     total = by.agg(F.sum(count)).first()[0] or 0
     hot = [r[0] for r in by.where(F.col(count) > max(1000, total // 1000)).select(key).collect()]
     if not hot:
-        return rows.join(by, key)
+        return rows.join(by, key, how)
     salted = rows.withColumn("join_salt", F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(spread), F.lit(64))).otherwise(F.lit(0)))
     copies = F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))
-    return salted.join(by.withColumn("join_salt", copies), [key, "join_salt"]).drop("join_salt")
+    return salted.join(by.withColumn("join_salt", copies), [key, "join_salt"], how).drop("join_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, table, written
+from .common import join_hot, new_path, table, written
 
 CHUNK, ROLL = 1 << 20, 64 << 20
 CHUNK_SCHEMA = "archive string, record_no long, record_id string, record_type string, uri string, page_id long, refers_to long, declared_digest string, declared_bytes long, chunk_no int, data binary, bytes_so_far long, digest_so_far string, last boolean, error string"
@@ -61,13 +61,14 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
 
     Equal payloads are found by SHA-256 on narrow rows, of which a partial minimum leaves one a
     digest and task. Rows that share the smallest page_id are all responses; a null page_id is
-    never the one referred to. Null html: an empty payload. Extra columns are ignored; an empty
+    never the one referred to. Rows of a payload that very many share meet its first one in several
+    tasks. Null html: an empty payload. Extra columns are ignored; an empty
     table gives an empty result.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("digest"))
-    firsts = written(p.where(f"n_bytes >= {least_bytes} and page_id is not null").groupBy("digest").agg(F.min("page_id").alias("low"), F.count("*").alias("m")).where("m > 1").select("digest", "low"), "warc-firsts")
-    return p.join(firsts, "digest", "left").select("page_id", "url", "html", "n_bytes", "digest", F.when(F.coalesce(F.col("page_id") != F.col("low"), F.col("low").isNotNull()), F.col("low")).alias("first"))
+    firsts = written(p.where(f"n_bytes >= {least_bytes} and page_id is not null").groupBy("digest").agg(F.min("page_id").alias("low"), F.count("*").alias("m")).where("m > 1"), "warc-firsts")
+    return join_hot(p, firsts, "digest", "m", "page_id", "left").select("page_id", "url", "html", "n_bytes", "digest", F.when(F.coalesce(F.col("page_id") != F.col("low"), F.col("low").isNotNull()), F.col("low")).alias("first"))
 
 
 def write_warc(marked: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
