@@ -62,33 +62,76 @@ def span_jaccard(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.try_divide(inter.cast("double"), (e1 - s1) + (e2 - s2) - inter)
 
 
+#: English names of months, weekdays and small numbers.
+MONTHS = ("jan(?:uary)?", "feb(?:ruary)?", "mar(?:ch)?", "apr(?:il)?", "may", "june?", "july?", "aug(?:ust)?", "sep(?:t|tember)?", "oct(?:ober)?", "nov(?:ember)?", "dec(?:ember)?")
+WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
+NUMBERS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
+
+
+def _calendar(year: Column, month: Column, day: Column, pub: Column) -> Column:
+    """The day of a month, the latest that is not after ``pub`` where no year is given, and of pub's own day where no day is.
+
+    Parts are integers or null. A month shorter than pub's day gives its last one; a day that the month lacks gives null.
+    """
+
+    def of(x: Column) -> Column:
+        first = F.make_date(F.coalesce(x["y"], F.year(pub)), x["m"], F.lit(1))
+        own = F.when(pub.isNotNull(), F.least(F.last_day(first), F.date_add(first, F.dayofmonth(pub) - 1)))
+        named = F.when(x["d"].between(1, F.dayofmonth(F.last_day(first))), F.date_add(first, x["d"] - 1))
+        at = let(F.when(x["d"].isNull(), own).otherwise(named), lambda d: F.when(x["y"].isNull() & (d > pub), F.add_months(d, -12)).otherwise(d))
+        return F.when(x["m"].between(1, 12), at)
+
+    return let(F.struct(year.alias("y"), month.alias("m"), day.alias("d")), of)
+
+
+def _shifted(pub: Column, n: Column, unit: Column) -> Column:
+    """``pub``, taken as midnight, moved by ``n`` units; hours of an earlier day count as that day."""
+    days = F.when(unit == "week", n * 7).when(unit == "hour", F.floor(n / 24).cast("int")).otherwise(n)
+    months = F.when(unit == "month", n).when(unit == "year", n * 12).when(unit == "decade", n * 120)
+    return F.when(months.isNull(), F.date_add(pub, days)).otherwise(F.add_months(pub, months))
+
+
 def resolve_date(text: Column, pub: Column) -> Column:
     """A date phrase relative to a publication date, past preferred; phrases outside the grammar give null.
 
-    Grammar: ISO dates, ``Month d, yyyy``, ``d Month yyyy``, today, yesterday, tomorrow, ``N days|weeks|months|years
-    ago``, ``last week|month|year``, and a weekday, alone or behind last, on or next.
+    Grammar, in any letter case: ISO dates; ``6/20/2012``; a month with or without day and year, in either order; a
+    year alone; today, yesterday, tomorrow, the day before yesterday, the day after tomorrow; ``N hours|days|weeks|months|years|decades
+    ago`` and ``in N ...``, N in digits or up to twelve in words; ``last|this|next week|month|year``; and a weekday, alone or
+    behind last, on or next. What a phrase leaves open comes from ``pub``: its day for a month, its month and day for a year.
     """
-    t = F.lower(F.trim(text))
-    n = F.regexp_extract(t, r"^(\d+) (?:day|week|month|year)s? ago$", 1)
-    n = F.when(n != "", n.cast("int"))
-    unit = F.regexp_extract(t, r"^\d+ (day|week|month|year)s? ago$", 1)
-    day = F.regexp_extract(t, r"^(?:last |on |next )?(monday|tuesday|wednesday|thursday|friday|saturday|sunday)$", 1)
+    t = F.regexp_replace(F.lower(F.trim(text)), r"\s+", " ")
+    units = "(hour|day|week|month|year|decade)s?"
+    count = rf"(\d{{1,4}}|{'|'.join(NUMBERS)}) {units}"
+    words = F.create_map(*(F.lit(v) for kv in NUMBERS.items() for v in kv))
+    part = lambda pattern, k: F.regexp_extract(t, pattern, k)
+    whole = lambda x: x.try_cast("int")
+    number = lambda x: F.coalesce(whole(x), F.element_at(words, x))
+    ago, ahead_by = f"^{count} ago$", f"^in {count}$"
+    step = r"^(last|this|next) (week|month|year)$"
+    steps = F.when(part(step, 1) == "last", -1).when(part(step, 1) == "next", 1).otherwise(0)
+    day = part(r"^(?:last |on |next )?(monday|tuesday|wednesday|thursday|friday|saturday|sunday)$", 1)
     short = F.initcap(F.substring(day, 1, 3))
-    following = F.element_at(F.create_map(*(F.lit(v) for d in ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun") for v in (d, d))), short)
-    ahead = F.coalesce(*[F.when(following == d, F.next_day(pub, d)) for d in ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")])
+    ahead = F.coalesce(*[F.when(short == d, F.next_day(pub, d)) for d in WEEKDAYS])
     before = F.when(F.date_sub(ahead, 7) == pub, F.date_sub(ahead, 14)).otherwise(F.date_sub(ahead, 7))
+    nth = r"(\d{1,2})(?:st|nd|rd|th)?"
+    named = rf"^(?:{nth} (?:of )?)?({'|'.join(MONTHS)})\.?(?: {nth})?,?(?: ([12]\d{{3}}))?$"
+    month = F.coalesce(*[F.when(part(named, 2).startswith(m[:3]), k) for k, m in enumerate(MONTHS, 1)])
+    one_day = F.when((part(named, 1) != "") & (part(named, 3) != ""), 0).otherwise(F.coalesce(whole(part(named, 1)), whole(part(named, 3))))
+    slashes = r"^(\d{1,2})[/-](\d{1,2})[/-]([12]\d{3})$"
+    a, b = whole(part(slashes, 1)), whole(part(slashes, 2))
     return (
         F.when(t == "today", pub)
         .when(t == "yesterday", F.date_sub(pub, 1))
         .when(t == "tomorrow", F.date_add(pub, 1))
-        .when(unit == "day", F.date_sub(pub, n))
-        .when(unit == "week", F.date_sub(pub, n * 7))
-        .when(unit == "month", F.add_months(pub, -n))
-        .when(unit == "year", F.add_months(pub, -12 * n))
-        .when(t == "last week", F.date_sub(pub, 7))
-        .when(t == "last month", F.add_months(pub, -1))
-        .when(t == "last year", F.add_months(pub, -12))
+        .when(t.rlike("^(the )?day before yesterday$"), F.date_sub(pub, 2))
+        .when(t.rlike("^(the )?day after tomorrow$"), F.date_add(pub, 2))
+        .when(t.rlike(ago), _shifted(pub, -number(part(ago, 1)), part(ago, 2)))
+        .when(t.rlike(ahead_by), _shifted(pub, number(part(ahead_by, 1)), part(ahead_by, 2)))
+        .when(t.rlike(step), _shifted(pub, steps, part(step, 2)))
         .when(t.startswith("next ") & (day != ""), ahead)
         .when(day != "", before)
-        .otherwise(F.coalesce(F.try_to_timestamp(t, F.lit("yyyy-MM-dd")).cast("date"), F.try_to_timestamp(F.initcap(t), F.lit("MMMM d, yyyy")).cast("date"), F.try_to_timestamp(F.initcap(t), F.lit("d MMMM yyyy")).cast("date")))
+        .when(t.rlike(named), _calendar(whole(part(named, 4)), month, one_day, pub))
+        .when(t.rlike(slashes), _calendar(whole(part(slashes, 3)), F.when(a > 12, b).otherwise(a), F.when(a > 12, a).otherwise(b), pub))
+        .when(t.rlike(r"^[12]\d{3}$"), _calendar(whole(t), F.month(pub), F.lit(None).cast("int"), pub))
+        .otherwise(F.try_to_timestamp(t, F.lit("yyyy-MM-dd")).cast("date"))
     )
