@@ -11,8 +11,7 @@ from ..functions.text import clean_query, cosine
 def grep_country(texts: DataFrame, patterns: list[tuple[str, str]], column: str = "text") -> DataFrame:
     """Append country and remainder: of the patterns (regex, code) that match, the one that leaves least text; ties: first.
 
-    A pattern needs no word boundary on its left, as in the reference rules, and is not followed by
-    a lower-case letter. One pass over the rows: a cheap alternation decides which rows look at
+    A pattern needs no word boundary on its left, and is not followed by a lower-case letter. One pass over the rows: a cheap alternation decides which rows look at
     the patterns one by one. No match: null country and the text as it is.
     """
     anyone = "|".join(f"(?:{p})" for p, _ in patterns)
