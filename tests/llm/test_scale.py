@@ -129,6 +129,38 @@ def test_mix_against_a_word_by_word_reader(spark):
     assert all(r.target == pytest.approx(targets[r.source]) for r in got)
 
 
+@pytest.mark.parametrize("long_slots", [mixing.LONG_SLOTS, 10])
+def test_mix_interleaves_sources_slot_by_slot(spark, monkeypatch, long_slots):
+    monkeypatch.setattr(mixing, "LONG_SLOTS", long_slots)
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 50)
+    rng = random.Random(8)
+    rows = [(i, words(rng, rng.randint(0, 60)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(200)] + [(300, "one", "d")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    ranked = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goal = {s: int(t + 1e-6) for s, t in level_targets(sizes).items()}
+    number = {s: -(-goal[s] // 8) for s in ranked}
+    n, first, slots_of = sum(number.values()), 0, {}
+    for s in ranked:
+        slots_of[s] = sorted(p * mixing.golden_step(n) % n for p in range(first, first + number[s]))
+        first += number[s]
+    assert sorted(x for own in slots_of.values() for x in own) == list(range(n))
+    for own in slots_of.values():  # every stretch from the start holds the source's share, within a few slots
+        assert all(abs(k - x * len(own) / n) < 4 for k, x in enumerate(own))
+    hashes = {r.doc_id: r.h for r in d.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
+    want = {}
+    for s, own in slots_of.items():
+        at = 0
+        for _, i, k in sorted((hashes[i], i, len(t.split())) for i, t, x in rows if x == s):
+            want[i] = own[at // 8] if k and at < goal[s] else None
+            at += k
+    got = mixing.mix(d, block=8).collect()
+    assert {r.doc_id: r.first_slot for r in got} == want
+    assert {s: sum(r.taken for r in got if r.source == s) for s in sizes} == goal
+
+
 def test_shards_round_trip(spark, tmp_path):
     rng = random.Random(7)
     d = spark.createDataFrame([*((i, words(rng, rng.randint(1, 80))) for i in range(60)), (None, "a null id"), (3, None), (4, "")], "doc_id long, text string").repartition(3)
