@@ -90,13 +90,19 @@ def _dictionary(texts: list[bytes]) -> bytes:
     return b"".join(texts)[-DICTIONARY_BYTES:]  # too little text to select from: raw content
 
 
+def one_label(labels: DataFrame) -> DataFrame:
+    """doc_id, quality: without null ids and labels, and without the ids that have labels of both classes."""
+    y = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("other"))
+    return y.where("quality = other").drop("other")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per: int) -> dict[int, list[bytes]]:
     """Whole texts of at most ``per`` labelled rows of each class, first by a hash of doc_id, half of SAMPLE_BYTES a class.
 
     A row that doesn't fit in what is left of its class is left out alone and not counted; so are rows with a
     null label, doc_id or text, and those of a doc_id with labels of both classes.
     """
-    y = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("quality").cast("int").alias("other")).where("quality = other").drop("other")
+    y = one_label(labels)
     order = F.xxhash64(F.lit(5), "doc_id")
     keys = y.where("quality = 1").orderBy(order, "doc_id").limit(per).unionByName(y.where("quality = 0").orderBy(order, "doc_id").limit(per))
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(keys), "doc_id")  # 2 x per keys at most

@@ -161,6 +161,44 @@ def test_mix_interleaves_sources_slot_by_slot(spark, monkeypatch, long_slots):
     assert {s: sum(r.taken for r in got if r.source == s) for s in sizes} == goal
 
 
+def test_rules_are_fitted_on_all_labelled_rows(spark, monkeypatch):
+    """More than 6,000 good rows, all of which are scored: the threshold is an order statistic of half of them, not of a bounded sample."""
+    rng = random.Random(13)
+    rows = [(i, " ".join(("#" if rng.random() < i % 40 / 100 else "") + w for w in words(rng, 40).split())) for i in range(7000)]
+    d = spark.createDataFrame([(i, t + (" %%%" * 6 if i % 50 == 0 else "")) for i, t in rows], "doc_id long, text string").repartition(5)
+    y = spark.createDataFrame([(i, int(i % 50 > 0)) for i in range(7000)], "doc_id long, quality int")
+    monkeypatch.setattr(rules, "SHARD_ROWS", 1000)
+    monkeypatch.setattr(rules, "TASK_ROWS", 2000)
+    seen = []
+    scored = rules._scored
+    monkeypatch.setattr(rules, "_scored", lambda *a: seen.append(scored(*a)) or seen[-1])
+    counts = common.written(rules.counted(d), "counts")
+    r = rules.fit_counts(counts, y)
+    memo = rules.WordHash()
+    stats = {i: rules.statistics(x.encode(), memo) for i, x in d.collect()}
+    good = [i for i in stats if i % 50 and not rules.base_failed(np.array([stats[i]]))[0]]
+    first, last = (x.count() for x in seen)
+    assert len(good) > 6000 and first == 7000 - sum(rules.base_failed(np.array([s]))[0] for s in stats.values()) and abs(2 * last - len(good)) <= 14
+    own = sorted(x.s0 for x in seen[-1].collect())
+    assert r.threshold == own[rules._limit(len(own))]
+    whole = np.sort(r.forest.scores(rules.features(np.array([stats[i] for i in good]))))
+    assert (whole > r.threshold).mean() < 3 * rules.GOOD_LOSS
+    x = rules.features(np.array([s for s in stats.values() if not rules.base_failed(np.array([s]))[0]]))
+    kept = spark.createDataFrame([tuple(map(int, s)) for s in stats.values() if not rules.base_failed(np.array([s]))[0]], ", ".join(f"{c} long" for c in rules.STATS))
+    assert np.allclose(rules._spread(kept.repartition(3)), x.std(0), rtol=1e-6, atol=1e-9)
+    assert rules.fit_counts(counts.repartition(2), y).threshold == r.threshold
+
+
+@pytest.mark.parametrize("bins", [2, 1024])
+def test_order_statistics(spark, monkeypatch, bins):
+    monkeypatch.setattr(rules, "BINS", bins)
+    rng = random.Random(4)
+    own = {"a": [rng.random() for _ in range(300)], "b": [0.5] * 40 + [0.5 + 1e-15] * 3, "c": [1.0]}
+    d = spark.createDataFrame([(k, v) for k, vs in own.items() for v in vs], "name string, value double")
+    at = {"a": 287, "b": 40, "c": 0}
+    assert rules.order_statistics(d, at) == {k: sorted(own[k])[n] for k, n in at.items()}
+
+
 def test_shards_round_trip(spark, tmp_path):
     rng = random.Random(7)
     d = spark.createDataFrame([*((i, words(rng, rng.randint(1, 80))) for i in range(60)), (None, "a null id"), (3, None), (4, "")], "doc_id long, text string").repartition(3)
