@@ -60,7 +60,7 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix of sources takes them; rows without words are in no mix."""
+    """Rows as often as the slots of the mix of sources read them, in the order of the slots; rows without words are in no mix."""
     return mixing.mixed(docs)
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, is_empty, table, written
 
 GOLDEN = 0.6180339887498949
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -93,7 +93,7 @@ def slots(targets: DataFrame, block: int = 64) -> DataFrame:
 
 
 def _streams(docs: DataFrame, share: float, most: float, weights: tuple[float, ...], seed: int) -> tuple[DataFrame, DataFrame]:
-    """A row a document: row, doc_id, key, size, h, start (words before it in its source's stream), source_size, target, goal; a row a source."""
+    """A row a document: row, doc_id, key, size, h, same (rows equal to it), start (words before it in its source's stream), source_size, target, goal; a row a source."""
     base = docs.select("doc_id", "source", words_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
     # equal rows as one with their number, so that a much repeated one fills no shard
     base = written(base.groupBy("doc_id", "source", "size", "h").agg(F.count("*").alias("same")), "mix-base")
@@ -114,18 +114,18 @@ def _streams(docs: DataFrame, share: float, most: float, weights: tuple[float, .
     before = written(before.join(targets.select("key", "source", "source_size", "target", "goal"), "key"), "mix-shards")
     placed = keyed.withColumn("start", F.sum(words).over(inner) - words).join(before, ["key", "shard"]).withColumn("start", F.col("start") + F.col("before"))
     placed = placed.withColumn("nth", F.explode(F.expr("sequence(0L, same - 1)"))).withColumn("start", F.expr("start + nth * size"))
-    placed = placed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", "size", "h", "start", "source", "source_size", "target", "goal")
+    placed = placed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", "size", "h", "same", "start", "source", "source_size", "target", "goal")
     return written(placed, "mix-streams"), targets
 
 
 def _readings(placed: DataFrame) -> DataFrame:
-    """A row each time that the mix reads a document, also in part: row, key, h, and the words at .. end of the source's endless stream."""
+    """A row each time that the mix reads a document, also in part: row, key, h, size, same, and the words at .. end of the source's endless stream."""
     again = F.explode(F.expr("sequence(0L, (goal - 1) div source_size)"))
     r = placed.where("size > 0 and goal > 0").withColumn("pass", again).withColumn("at", F.expr("start + pass * source_size")).where("at < goal")
-    return r.select("row", "key", "h", "at", F.expr("least(at + size, goal)").alias("end"))
+    return r.select("row", "key", "h", "size", "same", "at", F.expr("least(at + size, goal)").alias("end"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = 64, seed: int = 17, with_hash: bool = False) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = 64, seed: int = 17) -> DataFrame:
     """(doc_id, text, source, ...) -> doc_id, size, source, source_size, target, taken, first_slot; a row for each row.
 
     size: words of the whole text (null: 0). taken: words that the mix's slots take from the row,
@@ -142,22 +142,33 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     # merged: compressed slots are small enough for Spark to broadcast where their rows are not
     got = pieces.join(slots(targets, block).hint("merge"), ["key", "rank"]).groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     out = placed.join(got.hint("merge"), "row", "left")
-    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", *([F.col("h").alias("mix_hash")] if with_hash else []))
+    return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-def mixed(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """The mix as rows of ``docs``, all columns: a row as often as the mix takes its text, rounded.
+def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, block: int = 64, seed: int = 17) -> DataFrame:
+    """The mix as rows of ``docs``, all columns, in the order of its slots: a row for each time that the mix reads its text.
 
-    taken / size is rounded up with a chance equal to its fraction, by a hash of the row, so that
-    sources keep their shares. Rows without words are in no mix. Of rows that are wholly equal
-    in doc_id and text, each is repeated as the one that is taken most. Columns may have any names.
+    Texts stay whole: of a source's last reading, which the mix may take in part, the row is there if at least half of its
+    words are taken, or if it is the source's only one. So a source's words are within half a document of its target, but for
+    that only one. Rows stand in the order in which slots take their first words. Rows without words are in no mix. Rows that
+    are equal in doc_id, text and source are numbered in one window a group. Columns may have any names.
     """
-    h = F.xxhash64(F.lit(seed), "doc_id", "text")
-    got = mix(docs, seed=seed, with_hash=True, **options).where("size > 0").groupBy("mix_hash").agg(F.max(F.col("taken") / F.col("size")).alias("mix_ratio"))
-    chance = F.pmod(F.xxhash64("mix_hash", F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    took = written(got.select("mix_hash", F.floor(F.col("mix_ratio") + chance).cast("int").alias("mix_copies")).where("mix_copies > 0"), "mix-copies")
-    out = docs.select(F.struct("*").alias("doc"), h.alias("mix_hash")).join(took, "mix_hash")
-    return out.select("doc", F.explode(F.sequence(F.lit(1), "mix_copies"))).select("doc.*")
+    placed, targets = _streams(docs, share, most, weights, seed)
+    r = _readings(placed).where("at = 0 or 2 * (end - at) >= size").withColumn("rank", F.expr(f"at div {block}"))
+    r = r.join(slots(targets, block).hint("merge"), ["key", "rank"]).groupBy("h", "key", "row", "same").agg(F.collect_list(F.struct("slot", "at")).alias("mix_spots"))
+    r = written(r.select(F.col("h").alias("mix_hash"), F.col("key").alias("mix_key"), "row", "same", "mix_spots"), "mix-readings")
+    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("mix_hash"), _key().alias("mix_key"))
+    on = ["mix_hash", "mix_key"]
+    out = rows.join(r.where("same = 1").drop("row", "same").hint("merge"), on).select("doc", "mix_spots")
+    again = r.where("same > 1")
+    if not is_empty(again):
+        own = W.partitionBy(*on)
+        again = again.select(*on, "mix_spots", F.row_number().over(own.orderBy("row")).alias("mix_nth"))
+        equal = rows.join(again.select(*on).distinct(), on, "left_semi").withColumn("mix_nth", F.row_number().over(own.orderBy(F.xxhash64(F.to_json("doc")))))
+        out = out.unionByName(equal.join(again, [*on, "mix_nth"]).select("doc", "mix_spots"))
+    # written before the sort, whose sampling would run the joins again
+    out = written(out, "mix-rows", compression="zstd").select("doc", F.explode("mix_spots").alias("spot"))
+    return out.orderBy("spot.slot", "spot.at").select("doc.*")
 
 
 def op5_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -199,6 +199,33 @@ def test_order_statistics(spark, monkeypatch, bins):
     assert rules.order_statistics(d, at) == {k: sorted(own[k])[n] for k, n in at.items()}
 
 
+def test_mix_stage_returns_the_readings_in_slot_order(spark):
+    rng = random.Random(21)
+    rows = [(i, words(rng, rng.randint(0, 60)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(200)] + [(300, words(rng, 90), "d")] + [(400, "same row", "a")] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    ranked = sorted(sizes, key=lambda s: (s is None, s or ""))
+    goal = {s: int(t + 1e-6) for s, t in level_targets(sizes).items()}
+    n, first = sum(-(-goal[s] // 64) for s in ranked), 0
+    hashes = {r.doc_id: r.h for r in d.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
+    want = []
+    for s in ranked:
+        slots = sorted(p * mixing.golden_step(n) % n for p in range(first, first - (-goal[s] // 64)))
+        first += len(slots)
+        own = sorted((hashes[i], i, len(t.split()), t) for i, t, x in rows if x == s and t.split())
+        at = k = 0
+        while at < goal[s]:
+            _, i, size, t = own[k % len(own)]
+            if not at or 2 * min(size, goal[s] - at) >= size:
+                want.append((slots[at // 64], at, i, t, s))
+            at, k = at + size, k + 1
+    got = corpus_pipeline.mix_stage(spark, d, "").collect()
+    assert [(r.doc_id, r.text, r.source) for r in got] == [x[2:] for x in sorted(want, key=lambda x: x[:2])]
+    assert all(abs(sum(len(r.text.split()) for r in got if r.source == s) - goal[s]) <= 30 for s in sizes if s != "d")
+
+
 def test_shards_round_trip(spark, tmp_path):
     rng = random.Random(7)
     d = spark.createDataFrame([*((i, words(rng, rng.randint(1, 80))) for i in range(60)), (None, "a null id"), (3, None), (4, "")], "doc_id long, text string").repartition(3)
